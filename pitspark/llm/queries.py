@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitspark.llm import bpe, chat, minhash, quality
+from pitspark.llm import bpe, chat, minhash, quality, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.shuffle_into_shards(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
