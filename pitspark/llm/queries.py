@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitspark.llm import bpe, chat, minhash, packing, quality, shards
+from pitspark.llm import bpe, chat, minhash, packing, quality, shards, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    lexicon = toxicity.fit(docs.join(labels.where(~held_out()), "doc_id"))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shuffle_into_shards(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -56,7 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if re.match(r"op\d+_", k) and callable(v)}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
