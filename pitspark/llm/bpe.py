@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -77,6 +78,80 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [s for s in symbols if s >= 0]
 
 
+class _Lockstep:
+    """``merge`` for many short pieces at once: their segment trees are columns of one array, and every
+    step applies the root merge of each piece that still has one."""
+
+    LIMIT = 32
+
+    def __init__(self, byte_ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]):
+        keys = np.array([a << 32 | b for a, b in ranks], np.int64)
+        rank, new = np.array(list(ranks.values()), np.int64).reshape(-1, 2).T
+        order = np.argsort(keys)
+        self.keys, self.rank = keys[order], rank[order].astype(np.int32)
+        self.new = np.zeros(len(keys), np.int32)
+        self.new[rank] = new
+        self.bytes = np.array(byte_ids, np.int32)
+        self.none = np.int32((1 << 31) - 1)
+
+    def _leaf(self, a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank[at] << 5 | i, self.none).astype(np.int32)
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Pieces of 1 to LIMIT bytes."""
+        out: list[list[int]] = [[]] * len(pieces)
+        sizes = np.array([len(p) for p in pieces])
+        for low, size in ((0, 4), (4, 8), (8, 16), (16, 32)):
+            which = np.flatnonzero((sizes > low) & (sizes <= size))
+            if len(which):
+                for i, ids in zip(which.tolist(), self._merge([pieces[i] for i in which], sizes[which], size), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merge(self, pieces: list[bytes], sizes: np.ndarray, size: int) -> list[list[int]]:
+        m = len(pieces)
+        raw = np.frombuffer(b"".join([p.ljust(size, b"\0") for p in pieces]), np.uint8).reshape(m, size)
+        ids = np.full((size + 1, m), -1, np.int32)
+        ids[:size] = np.where(np.arange(size)[:, None] < sizes, self.bytes[raw].T, -1)
+        after = np.repeat(np.arange(1, size + 1, dtype=np.int32)[:, None], m, 1)
+        before = after - 2
+        tree = np.full((2 * size, m), self.none, np.int32)
+        for i in range(size - 1):
+            tree[size + i] = self._leaf(ids[i], ids[i + 1], np.int32(i))
+        for k in range(size - 1, 0, -1):
+            np.minimum(tree[2 * k], tree[2 * k + 1], out=tree[k])
+        flat, idf, aff, bef = tree.reshape(-1), ids.reshape(-1), after.reshape(-1), before.reshape(-1)
+        live = np.flatnonzero(tree[1] != self.none)
+        while len(live):
+            root = flat[m + live]
+            i = root & 31
+            at = i * m + live
+            j = aff[at]
+            new = self.new[root >> 5]
+            idf[at] = new
+            idf[j * m + live] = -1
+            k = aff[j * m + live]
+            aff[at] = k
+            inner = k < size
+            bef[k[inner] * m + live[inner]] = i[inner]
+            h = bef[at]
+            first = h < 0
+            left = self._leaf(np.where(first, -1, idf[np.maximum(h, 0) * m + live]), new, h)
+            inside = j < size  # the last place starts no pair, its leaf is empty anyway
+            flat[(size + j[inside]) * m + live[inside]] = self.none
+            flat[(size + i) * m + live] = self._leaf(new, idf[k * m + live], i)
+            flat[(size + h[~first]) * m + live[~first]] = left[~first]
+            for node, rows in ((size + j, live), (size + i, live), (size + h[~first], live[~first])):
+                while node.size and node[0] > 1:
+                    node = node >> 1
+                    flat[node * m + rows] = np.minimum(flat[2 * node * m + rows], flat[(2 * node + 1) * m + rows])
+            live = live[flat[m + live] != self.none]
+        columns = ids.T
+        return [row[row >= 0].tolist() for row in columns]
+
+
 class ByteBPE:
     """A vocabulary file of a byte-level BPE tokenizer, without its truncation and padding."""
 
@@ -92,10 +167,12 @@ class ByteBPE:
         self.token_bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
+        self.lockstep = _Lockstep(self.byte_ids, self.ranks)
+        self.texts = {i: str(i) for i in self.token_bytes}
         self.split = regex.compile(PATTERN).findall
         ordered = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, ordered))) if ordered else None
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.cache: dict[str, tuple[str, bytes]] = {}
 
     def ids(self, part: str) -> list[int]:
         """Ids of a part without special tokens."""
@@ -104,12 +181,32 @@ class ByteBPE:
             out.extend(merge([self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")], self.ranks))
         return out
 
-    def known(self, part: str) -> tuple[int, str, bytes]:
-        """Count, comma-joined ids and decoded bytes of a part."""
+    def known(self, part: str) -> tuple[str, bytes]:
+        """Comma-joined ids and decoded bytes of a part."""
         ids = self.ids(part)
-        return len(ids), ",".join(map(str, ids)), self.decode_bytes(ids)
+        return self._known(ids)
+
+    def _known(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join(map(self.texts.__getitem__, ids)), self.decode_bytes(ids)
 
-    def chunk(self, chunk: str) -> tuple[int, str, bytes] | None:
+    def learn(self, texts: Iterable[str]) -> None:
+        """Caches the chunks of the texts that are not known yet; their distinct pieces are merged in lockstep."""
+        fresh: set[str] = set()
+        for text in texts:
+            fresh.update(text.split(" "))
+        fresh = {c for c in fresh if c not in self.cache and 0 < len(c) <= CACHE_CHARS and not c[0].isspace() and not c[-1].isspace()}
+        if len(self.cache) + len(fresh) > CACHE_CHUNKS:
+            self.cache.clear()
+        cut = {c: self.split(" " + c) for c in fresh}
+        pieces = list({p for x in cut.values() for p in x})
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        short = [k for k, r in enumerate(raw) if len(r) <= _Lockstep.LIMIT]
+        done = dict(zip([pieces[k] for k in short], self.lockstep.merge([raw[k] for k in short]), strict=True))
+        done |= {pieces[k]: merge([self.byte_ids[b] for b in r], self.ranks) for k, r in enumerate(raw) if len(r) > _Lockstep.LIMIT}
+        for c, x in cut.items():
+            self.cache[c] = self._known(done[x[0]] if len(x) == 1 else [i for p in x for i in done[p]])
+
+    def chunk(self, chunk: str) -> tuple[str, bytes] | None:
         """``known`` of a space and the chunk. None if white space begins or ends the chunk, or it is empty:
         then its pieces depend on its neighbours. Else no piece reaches over the space before it."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
@@ -130,30 +227,40 @@ class ByteBPE:
             at = hit.end()
         yield text[at:], False
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """Count, comma-joined ids and decoded bytes of consecutive parts of the text."""
-        out: list[tuple[int, str, bytes]] = []
+    def pieces(self, text: str) -> list[tuple[str, bytes]]:
+        """Comma-joined ids and decoded bytes of consecutive parts of the text."""
+        out: list[tuple[str, bytes]] = []
         for part, special in self.segments(text):
             if special:
                 i = self.special[part]
-                out.append((1, str(i), self.token_bytes[i]))
+                out.append((str(i), self.token_bytes[i]))
             elif part:
                 out.extend(self._part(part))
         return out
 
-    def _part(self, part: str) -> list[tuple[int, str, bytes]]:
+    def _part(self, part: str) -> list[tuple[str, bytes]]:
         first, *rest = part.split(" ")
-        found = list(map(self.cache.get, rest))
-        for k, hit in enumerate(found):
-            if hit is None and (hit := self.cache.get(rest[k]) or self.chunk(rest[k])) is None:
+        try:
+            found = list(map(self.cache.__getitem__, rest))
+        except KeyError:
+            found = [self.cache.get(c) or self.chunk(c) for c in rest]
+            if None in found:
                 return [self.known(part)]
-            found[k] = hit
-        if first[-1:].isspace() and rest:
+        if rest and first[-1:].isspace():
             return [self.known(part)]
         return [self.known(first), *found] if first else found
 
+    def encoded(self, text: str) -> tuple[str, bytes]:
+        """The comma-joined ids of a text and the bytes that they decode to."""
+        found = self.pieces(text)
+        if not found:
+            return "", b""
+        ids, raw = zip(*found, strict=True)
+        return ",".join(ids), b"".join(raw)
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) if ids for i in ids.split(",")]
+        ids, _ = self.encoded(text)
+        return [int(i) for i in ids.split(",")] if ids else []
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -184,10 +291,11 @@ def encode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
         for batch in batches:
             for part in slices(batch, "text"):
                 n, a, b = [], [], []
-                for text in part.column("text").to_pylist():
-                    found = bpe.pieces(text or "")
-                    n.append(sum([x[0] for x in found]))
-                    ids, raw = ",".join([x[1] for x in found]), b"".join([x[2] for x in found])
+                texts = part.column("text").to_pylist()
+                bpe.learn(filter(None, texts))
+                for text in texts:
+                    ids, raw = bpe.encoded(text or "")
+                    n.append(ids.count(",") + 1 if ids else 0)
                     plain = raw.decode("utf-8", "replace")
                     if digests:
                         a.append(hashlib.sha256(ids.encode()).hexdigest())
