@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitspark.llm import bpe, chat, minhash, packing, quality, shards, toxicity
+from pitspark.llm import bpe, chat, minhash, packing, quality, shards, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
