@@ -15,7 +15,7 @@ from pitspark.llm._io import table
 
 #: Bytes that a record counts besides its text.
 RECORD_BYTES = 16
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def shuffle_into_shards(docs: DataFrame, *, shards: int = 40, seed: int = 7, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -44,8 +44,8 @@ def shuffle_into_shards(docs: DataFrame, *, shards: int = 40, seed: int = 7, tex
     blocks = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     starts = counts.join(blocks, "block").select("bucket", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("start"))
 
-    # bucket i is partition i, so a task holds one bucket at a time
-    scattered = staged.select("bucket", "place", "record", "size").repartitionById(buckets, "bucket")
+    # as many partitions as buckets: a task holds one on average, and the grouping needs no further exchange
+    scattered = staged.select("bucket", "place", "record", "size").repartition(buckets, "bucket")
     permuted = (
         scattered.groupBy("bucket")
         .agg(F.sort_array(F.collect_list(F.struct("place", "record", "size"))).alias("records"))
