@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitspark.llm import bpe, chat, lines, minhash, packing, quality, shards, toxicity, vectors
+from pitspark.llm import bpe, chat, lines, lm, minhash, packing, quality, shards, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,7 @@ def held_out() -> Column:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    lexicon = toxicity.fit(docs.join(labels.where(~held_out()), "doc_id"))
+    lexicon = toxicity.fit(docs, labels.where(~held_out()))
     return toxicity.score(docs, lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -49,6 +49,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("log_score_per_word", 6).alias("log_score_per_word"))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -105,4 +110,31 @@ SELECT *, NOT base_failed
 FROM b
 """
 
-ORACLE_SQL = {"op9_quality_rules": OP9_SQL}
+OP5_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id,
+                     list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+              FROM documents),
+g AS (SELECT rid, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+      FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+own1 AS (SELECT rid, c, count(*) AS n FROM g GROUP BY ALL),
+own2 AS (SELECT rid, b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+own3 AS (SELECT rid, a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+l1 AS (SELECT rid, c, sum(n) OVER (PARTITION BY c) - n AS n FROM own1),
+l2 AS (SELECT rid, b, c, sum(n) OVER (PARTITION BY b, c) - n AS n FROM own2),
+l3 AS (SELECT rid, a, b, c, sum(n) OVER (PARTITION BY a, b, c) - n AS n FROM own3),
+s AS (SELECT g.rid, CASE
+        WHEN a3.n > 0 THEN ln(a3.n / ab.n)
+        WHEN bc.n > 0 THEN ln(bc.n / b1.n) + CASE WHEN g.a IS NOT NULL THEN ln(0.4) ELSE 0 END
+        ELSE ln(greatest(c1.n, 0.5) / greatest((SELECT sum(len(w)) FROM docs) - d.len, 1))
+             + CASE WHEN g.b IS NOT NULL THEN ln(0.4) ELSE 0 END + CASE WHEN g.a IS NOT NULL THEN ln(0.4) ELSE 0 END END AS x
+      FROM g JOIN (SELECT rid, len(w) AS len FROM docs) d USING (rid)
+      JOIN l1 c1 ON c1.rid = g.rid AND c1.c = g.c
+      LEFT JOIN l1 b1 ON b1.rid = g.rid AND b1.c = g.b
+      LEFT JOIN l2 bc ON bc.rid = g.rid AND bc.b = g.b AND bc.c = g.c
+      LEFT JOIN l2 ab ON ab.rid = g.rid AND ab.b = g.a AND ab.c = g.b
+      LEFT JOIN l3 a3 ON a3.rid = g.rid AND a3.a = g.a AND a3.b = g.b AND a3.c = g.c)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(t, 0.0), 3) AS log_score, round(t / len(w), 6) AS log_score_per_word
+FROM docs LEFT JOIN (SELECT rid, fsum(x) AS t FROM s GROUP BY rid) USING (rid)
+"""
+
+ORACLE_SQL = {"op5_lm_score": OP5_SQL, "op9_quality_rules": OP9_SQL}
