@@ -175,11 +175,14 @@ def cut_point(values: Sequence[tuple[float, int]]) -> float:
     return best[1] or 0.02
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Lexicon:
-    """A lexicon from at most ``rows`` labelled rows (those of the smallest key hashes). Null labels are left out;
-    without toxic or clean rows the seed terms are the lexicon."""
-    picked = labelled.where(f"`{label}` IS NOT NULL").select(F.xxhash64(F.col(f"`{key}`")).alias("h"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), (F.col(f"`{label}`") > 0).cast("int").alias("y"))
-    picked = cut(picked.orderBy("h", "key").limit(rows).dropDuplicates(["text", "y"]))
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Lexicon:
+    """A lexicon from at most ``rows`` rows of ``labels`` (key and label; those of the smallest key hashes) and their
+    texts. Null labels are left out; without toxic or clean texts the seed terms are the lexicon."""
+    # the sample is bounded, so it can be broadcast
+    sample = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), (F.col(f"`{label}`") > 0).cast("int").alias("y"))
+    sample = sample.orderBy(F.xxhash64("key"), "key", "y").limit(rows)
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    picked = cut(texts.join(F.broadcast(sample), "key").select("text", "y").dropDuplicates())
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -262,3 +265,18 @@ def score(docs: DataFrame, lexicon: Lexicon, *, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[key, "score", "predicted"])
 
     return docs.selectExpr(f"`{key}` AS key", f"cast(`{text}` AS string) AS text").mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted toxic. No shuffle: rows pass through
+    the scoring tasks whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            for part in slices(batch, text):
+                values = part.column(text).to_pylist()
+                d = [density(fold(x), automaton) if x else 0.0 for x in values]
+                yield part.filter(pa.array([x / (x + lexicon.threshold) < 0.5 for x in d]))
+
+    return docs.mapInArrow(run, docs.schema)
