@@ -26,8 +26,8 @@ def _base32(value: Column, digits: int) -> Column:
 
 
 def ulid_column(timestamp_ms: Column, key: Column) -> Column:
-    """``ulid`` as an expression; a time out of range raises."""
-    checked = F.when(timestamp_ms.between(0, (1 << 48) - 1), timestamp_ms).otherwise(F.raise_error(F.lit("the time must fit 48 bits")).cast("long"))
+    """``ulid`` as an expression; a time out of range raises, null stays null."""
+    checked = F.when(timestamp_ms.isNull() | timestamp_ms.between(0, (1 << 48) - 1), timestamp_ms).otherwise(F.raise_error(F.lit("the time must fit 48 bits")).cast("long"))
     digest = F.sha2(key, 256)
     chunks = [_base32(F.conv(F.substring(digest, 1 + 5 * k, 5), 16, 10).cast("long"), 4) for k in range(4)]
     return F.concat(_base32(checked, 10), *chunks)

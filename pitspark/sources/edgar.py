@@ -55,7 +55,7 @@ def filings(submissions: DataFrame, history: DataFrame | None = None, *, forms:
     if history is not None:
         rows = rows.unionByName(history.select("cik", F.struct(*names).alias("columns")))
     flat = explode_columns(rows, "columns", names).where(form_wanted(F.col("form"), forms))
-    items = F.filter(F.transform(F.split(F.coalesce("items", F.lit("")), ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.coalesce("items", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     period = F.coalesce(F.nullif("reportDate", F.lit("")), F.col("filingDate"))
     out = flat.select("cik", F.col("accessionNumber").alias("accession"), F.col("form").alias("form_type"), F.to_date(period).alias("period_end"), iso_moment_ns(F.col("acceptanceDateTime")).alias("accepted_ns"), items.alias("items"))
     return with_amendments(out.dropDuplicates(["cik", "accession"]), accepted=("accepted_ns", "accession"))
