@@ -20,6 +20,8 @@ from pitspark.llm._io import cut
 
 #: Pivots are a sample of the vectors: about this many times the square root of their number, at most MAX_PIVOTS.
 PIVOT_FACTOR, MIN_PIVOTS, MAX_PIVOTS = 4, 16, 4096
+#: No two pivots are this close, so that a large group of near copies has one pivot and not all of a vector's nearest.
+PIVOT_SPREAD = 0.8
 #: Nearest pivots that describe a vector. Two that share fewer than two of them are not compared.
 NEAREST = 8
 #: Vectors that a block of a list holds; the blocks of a longer list are compared two by two in tasks of their own.
@@ -33,6 +35,17 @@ def _unit(batch: pa.RecordBatch, column: str, dim: int) -> np.ndarray:
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Those rows that are not close to an earlier one of them."""
+    kept = np.empty_like(x)
+    n = 0
+    for v in x:
+        if n == 0 or (kept[:n] @ v).max() < PIVOT_SPREAD:
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Those of the edges that join trees."""
     parent = list(range(n))
@@ -83,8 +96,11 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     n = classes.count()
     m = min(n, MAX_PIVOTS, max(MIN_PIVOTS, int(PIVOT_FACTOR * n**0.5)))
     sample = classes.select("v").orderBy(F.xxhash64("rep"), "rep").limit(m).toArrow() if n else None
-    pivots = _unit(sample.combine_chunks().to_batches()[0], "v", dim) if n else np.zeros((0, 1))
-    k = min(NEAREST, m)
+    pivots = _spread(_unit(sample.combine_chunks().to_batches()[0], "v", dim)) if n else np.zeros((0, 1))
+    if len(pivots) == 1:
+        # a pair of pivots needs two: the second is the opposite of the first
+        pivots = np.concatenate([pivots, -pivots])
+    k = min(NEAREST, len(pivots))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
