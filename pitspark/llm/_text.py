@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -136,3 +137,15 @@ def shingles(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def list_array(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32), pa.int32()), pa.array(values, kind))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed."""
+    width = x.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(len(x).to_bytes(8, "little") + x.view(np.uint8).reshape(-1, width).T.tobytes())
+
+
+def unplanes(body: bytes, dtype: type) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n, width = int.from_bytes(raw[:8], "little"), np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, 8).reshape(width, n).T).reshape(-1).view(dtype)

@@ -8,7 +8,7 @@ d words differ in at most d bits), and are then verified on their full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,36 +16,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm._io import cut, table
-from pitspark.llm._text import _K1, _K2, _LOWER, buffers, hash_spans, list_array, mix, slices, word_spans, words
+from pitspark.llm._text import _K1, _K2, _LOWER, buffers, hash_spans, list_array, mix, planes, slices, unplanes, word_spans, words
 from pitspark.llm.minhash import confirm
 
-#: Words are counted in so many buckets by hash; any order is exact, that of the counts only makes lists short.
-RARITY_BUCKETS = 1 << 16
+#: Words are counted in so many buckets by hash, in codes of one byte. Any order of words is exact; that of the
+#: counts makes lists short. A bucket that counts one word in all holds none that two lines share.
+RARITY_BUCKETS, RARITY_RANGES = 1 << 24, 64
 #: Bits of the filter that picks the texts of candidate lines; fuller, it only lets more texts pass.
 PICK_BITS = 1 << 24
 PERCENT, MIN_WORDS = 80, 5
 
 
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """Counts up to 127 as they are, larger ones on a scale of logarithms."""
+    with np.errstate(divide="ignore"):
+        high = 128 + 8 * np.log2(counts / 128)
+    return np.where(counts < 128, counts, np.minimum(255, high)).astype(np.uint8)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64)
+
+
 def _rarity(docs: DataFrame) -> np.ndarray:
-    """How many words of all texts fall into each bucket."""
+    """Of each bucket, how many words of all texts fall into it, as a code."""
+    width = RARITY_BUCKETS // RARITY_RANGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RARITY_BUCKETS, np.int64)
+        total = np.zeros(RARITY_BUCKETS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 h, _ = words(part.column("text"))
-                total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=RARITY_BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+                np.add.at(total, _bucket(h), np.uint32(1))
+        found = []
+        for r in range(RARITY_RANGES):
+            some = np.flatnonzero(total[r * width : (r + 1) * width])
+            if len(some):
+                found.append((r, planes(np.diff(some, prepend=0).astype(np.uint32)), planes(total[r * width + some])))
+        cols = list(zip(*found, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["r", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(r, np.zeros(width, np.int64))[np.cumsum(unplanes(at, np.uint32))] += unplanes(n, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()], pa.binary())], names=["r", "codes"])
 
-    out = np.zeros(RARITY_BUCKETS, np.int64)
-    got = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    out = np.zeros(RARITY_BUCKETS, np.uint8)
+    for row in docs.select("text").mapInArrow(run, "r int, at binary, n binary").repartition("r").mapInArrow(add, "r int, codes binary").collect():
+        out[row["r"] * width : (row["r"] + 1) * width] = np.frombuffer(row["codes"], np.uint8)
     return out
 
 
-def _line_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes ordered by line, the line of each, and row, number, start and end byte of each line."""
+def _line_sets(col: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes ordered by line, code of rarity and hash, the line and code of each, and row and number of
+    each line."""
     data, off = buffers(col)
     starts, lens, _ = word_spans(data, off)
     h = hash_spans(_LOWER[data], starts, lens)
@@ -56,14 +82,17 @@ def _line_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     begin, row = begin[order], row[order]
     first = np.searchsorted(row, np.arange(len(off) - 1))
     number = np.arange(len(row)) - first[row]
-    end = np.minimum(np.append(begin[1:], len(data)), off[row + 1])
-    end = np.where(np.append(row[1:] == row[:-1], False), end - 1, end)
     line = np.searchsorted(begin, starts, "right") - 1
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
+    code = rarity[_bucket(h)]
+    # line, code and half of the hash in one number; where that leaves words apart that are equal, all of the hash
+    packed = (line.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+    order = np.argsort(packed, kind="stable")
+    if ((packed[order][1:] == packed[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+        order = np.lexsort((h, packed))
+    h, line, code = h[order], line[order], code[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return h[new], line[new], row, number, begin, end
+    return h[new], line[new], code[new], row, number
 
 
 def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -73,60 +102,66 @@ def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), starts) for x in (low, ~low)])
 
 
-def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.ndarray | None) -> DataFrame:
-    """key, line, n, fp1, fp2 of every line of ``min_words`` distinct words; with ``rarity`` also b1 and b2 (parity) and toks (prefix)."""
+def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.ndarray) -> DataFrame:
+    """key, line, n, fp1, fp2 (fingerprints of the set), b1, b2 (parity), and the words of the prefix that occur more than
+    once, toks, with their places in the order, places, of every line of ``min_words`` distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                h, line, row, number, _, _ = _line_sets(part.column("text"))
+                h, line, code, row, number = _line_sets(part.column("text"), rarity)
                 n = np.bincount(line, minlength=len(row))
                 keep = n[line] >= min_words
-                h, line = h[keep], line[keep]
+                h, line, code = h[keep], line[keep], code[keep]
                 full = np.flatnonzero(n >= min_words)
                 n = n[full]
                 starts = np.cumsum(n) - n
-                cols: list[pa.Array] = [part.column("key").take(pa.array(row[full])), pa.array(number[full].astype(np.int32)), pa.array(n.astype(np.int32))]
                 sums = [np.add.reduceat(mix(x), starts) if len(full) else np.zeros(0, np.uint64) for x in (h + _K1, h ^ _K2)]
-                cols += [pa.array(sums[0].view(np.int64)), pa.array((sums[1] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                names = ["key", "line", "n", "fp1", "fp2"]
-                if rarity is not None:
-                    parity = _parity(h, starts) if len(full) else np.zeros((2, 0), np.uint64)
-                    own = np.repeat(np.arange(len(full)), n)
-                    order = np.lexsort((h, rarity[(h >> np.uint64(48)).astype(np.int64)], own))
-                    size = n - (percent * n + 99) // 100 + 1
-                    prefix = np.arange(len(h)) - starts[own] < size[own]
-                    toks = (h[order][prefix] >> np.uint64(16)).astype(np.uint32).view(np.int32)
-                    cols += [pa.array(p.view(np.int64)) for p in parity] + [list_array(toks, np.append(0, np.cumsum(size)), pa.int32())]
-                    names += ["b1", "b2", "toks"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return docs.mapInArrow(run, f"key {kind}, line int, n int, fp1 long, fp2 int" + ", b1 long, b2 long, toks array<int>" * (rarity is not None))
-
-
-def _texts(docs: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
-    """doc (key, line) and text of the lines in ``wanted`` (b1), and of some others."""
-    slot = F.col("b1").bitwiseAND(PICK_BITS - 1)
+                parity = _parity(h, starts) if len(full) else np.zeros((2, 0), np.uint64)
+                own = np.repeat(np.arange(len(full)), n)
+                size = n - (percent * n + 99) // 100 + 1
+                place = np.arange(len(h)) - starts[own]
+                prefix = (place < size[own]) & (code > 1)
+                toks = (h[prefix] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                cuts = np.append(0, np.cumsum(np.bincount(own[prefix], minlength=len(full))))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("key").take(pa.array(row[full])), pa.array(number[full].astype(np.int32)), pa.array(n.astype(np.int32)),
+                        pa.array(sums[0].view(np.int64)), pa.array((sums[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        *(pa.array(p.view(np.int64)) for p in parity), list_array(toks, cuts, pa.int32()), list_array(place[prefix].astype(np.int32), cuts, pa.int32()),
+                    ],
+                    names=["key", "line", "n", "fp1", "fp2", "b1", "b2", "toks", "places"],
+                )
+
+    return docs.mapInArrow(run, f"key {kind}, line int, n int, fp1 long, fp2 int, b1 long, b2 long, toks array<int>, places array<int>")
+
+
+def _bits(rows: DataFrame, slot: Column) -> np.ndarray:
+    """A bitmap of fixed size of the slots (0 to PICK_BITS - 1) that occur."""
     bits = np.zeros(PICK_BITS // 64, np.uint64)
-    got = wanted.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    got = rows.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(one).alias("bits")).toArrow()
     bits[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _picker(bits: np.ndarray, column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lets rows pass whose slot's bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                h, line, row, number, begin, end = _line_sets(part.column("text"))
-                n = np.bincount(line, minlength=len(row))
-                full = np.flatnonzero(n)
-                if not len(full):
-                    continue
-                b = _parity(h, (np.cumsum(n) - n)[full])[0] & np.uint64(PICK_BITS - 1)
-                full = full[(bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)) > 0]
-                data, _ = buffers(part.column("text"))
-                raw = data.tobytes()
-                text = pa.array([raw[a:z].decode("utf-8", "replace") for a, z in zip(begin[full].tolist(), end[full].tolist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row[full])), pa.array(number[full].astype(np.int32)), text], names=["key", "line", "text"])
-
-    found = docs.mapInArrow(run, f"key {kind}, line int, text string")
+            at = batch.column(column).to_numpy().astype(np.int64) & (PICK_BITS - 1)
+            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.filter(pa.array(hit > 0))
+
+    return run
+
+
+def _texts(docs: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+    """doc (key, line) and text of the lines in ``wanted`` (doc), and of a few others."""
+    bits = _bits(wanted, F.xxhash64("doc.key", "doc.line").bitwiseAND(PICK_BITS - 1))
+    every = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    found = every.select("key", "line", "text", F.xxhash64("key", "line").bitwiseAND(PICK_BITS - 1).alias("slot")).mapInArrow(_picker(bits, "slot"), f"key {kind}, line int, text string, slot long")
     return found.select(F.struct("key", "line").alias("doc"), "text")
 
 
@@ -135,13 +170,13 @@ def _at(prefix: str) -> Column:
 
 
 def _candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """a, b, ham and both b1 of pairs that share a prefix word and pass the filters; a is earlier than b."""
+    """a, b and ham of pairs that share a prefix word and pass the filters; a is earlier than b."""
     total, most = F.col("x.n") + F.col("y.n"), F.least("x.p", "y.p") + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
     ham = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
     earlier = (F.col("x.key") < F.col("y.key")) | ((F.col("x.key") == F.col("y.key")) & (F.col("x.line") < F.col("y.line")))
     alike = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (most * (100 + percent) >= total * percent) & (ham * (100 + percent) <= total * (100 - percent))
     joined = x.alias("x").join(y.alias("y"), (F.col("x.tok") == F.col("y.tok")) & earlier & alike)
-    return joined.select(_at("x").alias("a"), _at("y").alias("b"), ham.alias("ham"), F.col("x.b1").alias("ba"), F.col("y.b1").alias("bb"))
+    return joined.select(_at("x").alias("a"), _at("y").alias("b"), ham.alias("ham"))
 
 
 def removed_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -149,25 +184,34 @@ def removed_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     rarity = _rarity(plain)
-    every = _sets(plain, kind, min_words, percent, rarity)
+    every = table(_sets(plain, kind, min_words, percent, rarity), "line-sets")
     # lines of equal sets are one class, at the place of the first of them
-    classes = every.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("key", "line")).alias("at"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("toks").alias("toks"))
+    kept = ("b1", "b2", "toks", "places")
+    classes = every.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("key", "line")).alias("at"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in kept))
     classes = table(classes, "line-classes")
-    copies = _sets(plain, kind, min_words, percent, None).join(classes.select("fp1", "fp2", "n", "at"), ["fp1", "fp2", "n"]).where((F.col("at.key") != F.col("key")) | (F.col("at.line") != F.col("line"))).select("key", "line")
+    is_first = (F.col("at.key") == F.col("key")) & (F.col("at.line") == F.col("line"))
+    copies = every.select("key", "line", "fp1", "fp2", "n").join(classes.where("copies > 1").select("fp1", "fp2", "n", "at"), ["fp1", "fp2", "n"]).where(~is_first).select("key", "line")
+    whole = classes.where("size(toks) > 0").select("at.key", "at.line", "n", "b1", "b2", F.arrays_zip("toks", "places").alias("z"))
 
-    index = classes.select("at.key", "at.line", "n", "b1", "b2", F.posexplode("toks").alias("p", "tok"))
     # first each line against its likeliest candidate only; a line that this removes needs no other
-    likeliest = cut(_candidates(index, index, percent).groupBy("b").agg(F.min(F.struct("ham", "a", "ba", "bb")).alias("m")).select("m.a", "b", "m.ba", "m.bb"))
-    sides = lambda d: d.select(F.col("ba").alias("b1")).union(d.select("bb"))
-    done = cut(confirm(likeliest.select("a", "b"), _texts(plain, kind, sides(likeliest)).dropDuplicates(["doc"]), 1, percent).select("b"))
+    index = _exploded(whole)
+    likeliest = cut(_candidates(index, index, percent).groupBy("b").agg(F.min(F.struct("ham", "a")).alias("m")).select("m.a", "b"))
+    sides = lambda d: d.select(F.col("a").alias("doc")).union(d.select("b"))
+    done = cut(confirm(likeliest, _texts(plain, kind, sides(likeliest)).dropDuplicates(["doc"]), 1, percent).select("b"))
     left = cut(likeliest.join(done, "b", "left_anti").select("b.key", "b.line", "a"))
-    more = index.join(left.select("key", "line"), ["key", "line"], "left_semi")
-    pairs = _candidates(index, more, percent).groupBy("a", "b").agg(F.first("ba").alias("ba"), F.first("bb").alias("bb"))
+    more = cut(_exploded(whole.join(left.select("key", "line"), ["key", "line"], "left_semi")))
+    fields = f"key {kind}, line int, n int, b1 long, b2 long, tok int, p int"
+    near = index.mapInArrow(_picker(_bits(more, F.col("tok").cast("long").bitwiseAND(PICK_BITS - 1)), "tok"), fields)
+    pairs = _candidates(near, more, percent).select("a", "b").distinct()
     pairs = cut(pairs.join(left.select(F.struct("key", "line").alias("b"), "a"), ["a", "b"], "left_anti"))
-    also = confirm(pairs.select("a", "b"), _texts(plain, kind, sides(pairs)).dropDuplicates(["doc"]), 1, percent).select("b").distinct()
+    also = confirm(pairs, _texts(plain, kind, sides(pairs)).dropDuplicates(["doc"]), 1, percent).select("b").distinct()
     return copies.union(done.union(also).select("b.key", "b.line")).distinct()
 
 
+def _exploded(lines: DataFrame) -> DataFrame:
+    return lines.select("key", "line", "n", "b1", "b2", F.explode("z").alias("z")).select("key", "line", "n", "b1", "b2", F.col("z.toks").alias("tok"), F.col("z.places").alias("p"))
+
+
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, ``n_lines`` and ``n_removed``.
 

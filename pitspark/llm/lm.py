@@ -14,11 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.llm._text import _K1, buffers, mix, slices, word_spans, words
+from pitspark.llm._text import _K1, buffers, mix, planes, slices, unplanes, word_spans, words
 
 ORDER, BACKOFF = 3, 0.4
 #: Count that stands for a word that no other document holds.
@@ -37,18 +36,6 @@ def _grams(h: np.ndarray, rows: np.ndarray, order: int) -> tuple[list[np.ndarray
     return out, place
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed."""
-    width = x.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(len(x).to_bytes(8, "little") + x.view(np.uint8).reshape(-1, width).T.tobytes())
-
-
-def _unplanes(body: bytes, dtype: type) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(body)
-    n, width = int.from_bytes(raw[:8], "little"), np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, 8).reshape(width, n).T).reshape(-1).view(dtype)
-
-
 def _bounds(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
     """Where each of ``parts`` equal ranges of hashes begins, and the end."""
     edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
@@ -145,14 +132,14 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
                     found = []
                     for p in np.flatnonzero(np.diff(cut)).tolist():
                         x = ids[cut[p] : cut[p + 1]]
-                        found.append((block, n, p, _planes(np.diff(x, prepend=np.uint64(0))), _planes(counts[cut[p] : cut[p + 1]].astype(np.uint32))))
+                        found.append((block, n, p, planes(np.diff(x, prepend=np.uint64(0))), planes(counts[cut[p] : cut[p + 1]].astype(np.uint32))))
                     yield rows_of(found)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(mark: tuple[int, int], held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             sizes = np.cumsum([0] + [len(x) for _, x, _ in held])
             total = _totals(np.concatenate([x for _, x, _ in held]), np.concatenate([c for _, _, c in held]))
-            return rows_of([(b, *mark, b"", _planes(total[sizes[k] : sizes[k + 1]])) for k, (b, _, _) in enumerate(held)])
+            return rows_of([(b, *mark, b"", planes(total[sizes[k] : sizes[k + 1]])) for k, (b, _, _) in enumerate(held)])
 
         now, held = None, []
         for batch in batches:
@@ -161,7 +148,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
                     yield flush(now, held)
                     held = []
                 now = n, p
-                held.append((block, np.cumsum(_unplanes(body, np.uint64), dtype=np.uint64), _unplanes(counts, np.uint32)))
+                held.append((block, np.cumsum(unplanes(body, np.uint64), dtype=np.uint64), unplanes(counts, np.uint32)))
         if held:
             yield flush(now, held)
 
@@ -177,7 +164,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
                 if block != now:
                     now, got = block, {}
                 if p >= 0:
-                    got[n, p] = _unplanes(counts, np.int64)
+                    got[n, p] = unplanes(counts, np.int64)
                     continue
                 part = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()
                 if not part:
