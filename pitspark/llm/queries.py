@@ -137,4 +137,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(t, 0.0), 3) AS
 FROM docs LEFT JOIN (SELECT rid, fsum(x) AS t FROM s GROUP BY rid) USING (rid)
 """
 
-ORACLE_SQL = {"op5_lm_score": OP5_SQL, "op9_quality_rules": OP9_SQL}
+_REACH = """edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+OP1_SQL = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (SELECT * FROM nodes WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.id < y.id AND list_cosine_similarity(x.v, y.v) >= 0.9),
+{_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM edges WHERE edges.a = comp.id) AS n_links, component_id, id = component_id AS kept FROM comp
+"""
+
+OP6_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(t, r)),
+sized AS (SELECT *, length(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))
+  + length('<|im_start|>') + length('<|im_end|>') + 2 AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+OP8_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words WHERE len(w) > 0),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+nodes AS (SELECT id, coalesce(n, 0) AS n FROM words LEFT JOIN sizes USING (id)),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+{_REACH}
+SELECT id AS doc_id, n AS n_shingles, component_id, id = component_id AS kept FROM nodes JOIN comp USING (id)
+"""
+
+ORACLE_SQL = {"op1_embedding_dedup": OP1_SQL, "op5_lm_score": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_minhash_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
