@@ -63,11 +63,35 @@ class Rendered:
     rewrites: list[int] = field(default_factory=list)
 
 
-def render(turns: Sequence[Turn], template: Template = marked_turns) -> Rendered:
+#: A conversation of more turns is rendered in windows of this many, and their sum checked against one render of the whole.
+WINDOW = 512
+
+
+def render(turns: Sequence[Turn], template: Template = marked_turns, window: int = WINDOW) -> Rendered:
     """Renders every prefix and compares consecutive outputs. Where turn k rewrites history, its span
-    begins at the first character that differs, and the spans before it are cut there."""
+    begins at the first character that differs, and the spans before it are cut there.
+
+    Prefixes cost the square of the turns. A long conversation is therefore rendered window by window, each
+    after the last turn of the one before; if no window rewrites history and the parts add up to what the
+    template makes of all turns, the result stands, else every prefix of the whole is rendered after all."""
+    if len(turns) <= window:
+        return _prefixes(turns, 0, template)
     out = Rendered()
-    for k in range(len(turns)):
+    for at in range(0, len(turns), window):
+        lead = 1 if at else 0
+        part = _prefixes(turns[at - lead : at + window], lead, template)
+        begin = part.spans[0][0]
+        if part.rewrites:
+            return _prefixes(turns, 0, template)
+        out.spans += [(a - begin + len(out.text), b - begin + len(out.text)) for a, b in part.spans]
+        out.text += part.text[begin:]
+    return out if out.text == template(turns) else _prefixes(turns, 0, template)
+
+
+def _prefixes(turns: Sequence[Turn], first: int, template: Template) -> Rendered:
+    """Spans of the turns from ``first`` on."""
+    out = Rendered(template(turns[:first]) if first else "")
+    for k in range(first, len(turns)):
         now = template(turns[: k + 1])
         if now.startswith(out.text):
             at = len(out.text)

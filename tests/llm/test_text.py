@@ -179,6 +179,21 @@ def test_rewritten_history_is_found():
     assert out.rewrites == [2] and out.text == "[u]a[a]def[u]ghi" and out.spans[2] == (4, len(out.text))
 
 
+def test_windows_equal_whole_prefixes():
+    def trims(turns):
+        return "".join(f"[{r}]{t if k >= len(turns) - 2 else t[:1]}" for k, (r, t) in enumerate(turns))
+
+    def numbered(turns):
+        return "".join(f"{k}{r}:{t};" for k, (r, t) in enumerate(turns))
+
+    turns = [(r, f"text {k} <|") for k in range(23) for r in "ua"]
+    for template in (chat.marked_turns, trims, numbered):
+        assert chat.render(turns, template, window=5) == chat.render(turns, template, window=1000)
+    many = [("user", "hello " * 5)] * 60_000
+    out = chat.render(many)
+    assert len(out.spans) == len(many) and out.spans[-1][1] == len(out.text)
+
+
 def test_best_fit_rules():
     r = random.Random(1)
     pieces = [(r.randrange(0, 100), r.choice("abc"), r.choice("wxyz12345")) for _ in range(400)]
