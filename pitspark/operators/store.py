@@ -165,7 +165,8 @@ class SignalStore:
         found = content_hash(self.spark.read.schema(schema.OBSERVATION).parquet(str(target / "data")), as_of_ns=as_of_ns).first()
         files = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted((target / "data").glob("*.parquet"))}
         manifest = {"content_hash": found["content_hash"], "as_of_ns": as_of_ns, "row_count": found["row_count"], "schema": schema.SCHEMA_VERSION, "files": files}
-        (target / "manifest.json").write_text(json.dumps(manifest, indent=1, sort_keys=True))
+        text = json.dumps(manifest, sort_keys=True, indent=1)
+        (target / "manifest.json").write_text(text)
         return SnapshotRef(found["content_hash"], as_of_ns, str(target))
 
     def close(self) -> None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 from datetime import date
+from hashlib import sha256
 from typing import Any
 
 
+_COMPACT = (",", ":")
+
+
 class BacktestError(ValueError):
     """A safeguard is off without saying so, or a report promises returns."""
 
@@ -29,7 +32,8 @@ class BacktestSpec:
     delisting_handling_enabled: bool = True
 
     def __post_init__(self) -> None:
-        if not self.costs_enabled and not self.label_gross_illustrative:
+        gross = not self.costs_enabled
+        if gross and not self.label_gross_illustrative:
             raise BacktestError("results before costs must be labelled as gross and illustrative")
         if not self.delisting_handling_enabled:
             raise BacktestError("delisted positions always count")
@@ -52,11 +56,12 @@ class RunManifest:
 
     @property
     def hash(self) -> str:
-        return content_hash(asdict(self))
+        fields = asdict(self)
+        return content_hash(fields)
 
 
 def content_hash(value: Any) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+    return sha256(json.dumps(value, default=str, separators=_COMPACT, sort_keys=True).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -79,7 +84,7 @@ class Report:
 
 
 #: Words that promise what a diagnostic can't.
-PROMISES = ("alpha", "expected return", "guaranteed", "edge over the market")
+PROMISES = tuple("guaranteed|alpha|edge over the market|expected return".split("|"))
 
 
 def assert_honest(text: str) -> None:

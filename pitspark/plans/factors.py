@@ -36,9 +36,9 @@ class Input:
     signal: str | None = None
     market: str | None = None
     series_id: str | None = None
-    field: str | None = None
-    window: str | None = None
     min_coverage: int | None = None
+    window: str | None = None
+    field: str | None = None
 
     def __post_init__(self) -> None:
         if bool(self.signal) == bool(self.market):
@@ -69,7 +69,7 @@ class Definition:
     evaluation: dict[str, Any] = field(default_factory=dict)
 
     @classmethod
-    def parse(cls, data: Mapping[str, Any]) -> Definition:
+    def parse(cls, data: Mapping) -> Definition:
         try:
             head, rule = data["factor"], data.get("pit", {})
             if rule.get("as_of_rule", "knowledge_time") != "knowledge_time":

@@ -48,7 +48,7 @@ def ingest_rows(rows: DataFrame, *, store: SignalStore, guard: Guard, manifest:
     return report
 
 
-def ingest(spark: SparkSession, settings: Settings, *, mode: str = "live", only: str | None = None, store: SignalStore | None = None, guard: Guard | None = None, clock: Callable[[], int] = time.time_ns) -> list[AdapterReport]:
+def ingest(spark: SparkSession, settings: Settings, *, mode: str = "live", store: SignalStore | None = None, guard: Guard | None = None, only: str | None = None, clock: Callable[[], int] = time.time_ns) -> list[AdapterReport]:
     chosen = [a for a in settings.adapters if a.enabled and only in (None, a.id)]
     if not chosen:
         raise IngestError(f"no adapter {only or ''} is set up")

@@ -44,7 +44,7 @@ OBS = """obs AS (SELECT CAST(event_id AS VARCHAR) AS observation_id, 'evt.' || e
   epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) * 1000 AS event_time_ns, epoch_us(ts) * 1000 AS knowledge_time_ns,
   epoch_us(ts) * 1000 + 3600000000000 AS ingest_time_ns, CAST(event_id AS VARCHAR) AS vintage_id, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS sample_size, ts, event_id, user_id FROM events)"""
-PICK = "QUALIFY row_number() OVER (PARTITION BY signal_type, coalesce(security_id, native_entity), series_id, event_time_ns{more} ORDER BY knowledge_time_ns DESC, vintage_id DESC, observation_id DESC) = 1"
+PICK = "QUALIFY row_number() OVER (PARTITION BY event_time_ns, series_id, signal_type, coalesce(security_id, native_entity){more} ORDER BY (knowledge_time_ns, vintage_id, observation_id) DESC) = 1"
 _KEPT = ("observation_id", "signal_type", "series_id", "security_id", "native_entity", "event_time_ns", "knowledge_time_ns", "value", "sample_size")
 _COLS = ", ".join(_KEPT)
 

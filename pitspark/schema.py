@@ -31,7 +31,7 @@ OBSERVATION = T.StructType(
 )
 COLUMNS = OBSERVATION.fieldNames()
 #: Strings that must hold something.
-REQUIRED_TEXT = ("observation_id", "schema_version", "signal_type", "run_id", "source_id", "adapter_id", "native_entity", "license_tag")
+REQUIRED_TEXT = tuple("license_tag native_entity adapter_id source_id run_id signal_type schema_version observation_id".split())
 
 #: Fields of each payload as DDL, in the order of canonical JSON.
 PAYLOADS: dict[str, str] = {
@@ -94,13 +94,12 @@ class ModelRef:
 
     @classmethod
     def parse(cls, text: str) -> ModelRef:
-        model, sep, version = text.partition("@")
-        if not sep:
+        if "@" not in text:
             raise SchemaError(f"{text!r} names no version")
-        return cls(model, version)
+        return cls(*text.split("@", 1))
 
     def __str__(self) -> str:
-        return f"{self.model_id}@{self.version}"
+        return "@".join((self.model_id, self.version))
 
 
 def invalid_reason() -> Column:

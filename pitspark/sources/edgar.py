@@ -50,7 +50,7 @@ def with_amendments(filings: DataFrame, *, key: str = "accession", accepted: Seq
 def filings(submissions: DataFrame, history: DataFrame | None = None, *, forms: Sequence[str]) -> DataFrame:
     """cik, accession, form_type, period_end, accepted_ns, items, amends_ref. ``submissions``: cik and ``filings`` (SUBMISSIONS);
     ``history``: cik and the fields of a further list, as columns."""
-    names = ("accessionNumber", "filingDate", "reportDate", "acceptanceDateTime", "form", "items")
+    names = "accessionNumber filingDate reportDate acceptanceDateTime form items".split()
     rows = submissions.select("cik", F.col("filings.recent").alias("columns"))
     if history is not None:
         rows = rows.unionByName(history.select("cik", F.struct(*names).alias("columns")))

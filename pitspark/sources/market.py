@@ -46,7 +46,7 @@ class MarketCsv:
 
     def bars(self, ids: Sequence[str] = (), window: tuple[int, int] | None = None) -> DataFrame:
         """A bar is known at its own stamp, which needs a zone, else at the day's close."""
-        df = csv.read_csv(self.spark, self.bars_path, [csv.ENTITY, "date", "open", "high", "low", "close", "volume"])
+        df = csv.read_csv(self.spark, self.bars_path, [csv.ENTITY, *"date open high low close volume".split()])
         day = csv.date_cell(df, "date")
         known = session_close(day, self.close)
         if "knowledge_time" in df.columns:

@@ -1,4 +1,4 @@
-"""A token bucket for fetchers that run on the driver."""
+"""A pace for fetchers that run on the driver."""
 
 from __future__ import annotations
 
@@ -8,29 +8,24 @@ from collections.abc import Callable
 
 
 class RateLimiter:
-    """``rate`` tokens a second up to ``burst``. Callers wait in line."""
+    """``rate`` calls a second on average, ``burst`` at once. It keeps the one moment at which all calls so far are paid for;
+    a call may run that far ahead of the clock as the burst allows, and waits for the rest. Callers wait in line."""
 
     def __init__(self, rate: float, burst: int = 1, *, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        if rate <= 0 or burst < 1:
+        if not (rate > 0 and burst >= 1):
             raise ValueError("rate and burst must be positive")
-        self.rate, self.burst, self._clock, self._sleep = rate, burst, clock, sleep
-        self._tokens, self._at, self._lock = float(burst), clock(), threading.Lock()
+        self.rate, self.burst = rate, burst
         self.waited_seconds = 0.0
+        self._clock, self._sleep = clock, sleep
+        self._paid_until = clock()
+        self._line = threading.Lock()
 
-    def acquire(self, cost: int = 1) -> None:
-        if not 1 <= cost <= self.burst:
-            raise ValueError("a cost lies between 1 and the burst")
-        with self._lock:
-            self._refill()
-            if self._tokens < cost:
-                pause = (cost - self._tokens) / self.rate
-                self._sleep(pause)
+    def acquire(self, weight: int = 1) -> None:
+        if weight not in range(1, self.burst + 1):
+            raise ValueError("a call weighs between 1 and the burst")
+        with self._line:
+            self._paid_until = max(self._paid_until, self._clock()) + weight / self.rate
+            pause = self._paid_until - self.burst / self.rate - self._clock()
+            if pause > 0:
                 self.waited_seconds += pause
-                self._refill()
-                self._tokens = max(self._tokens, float(cost))
-            self._tokens -= cost
-
-    def _refill(self) -> None:
-        now = self._clock()
-        self._tokens = min(float(self.burst), self._tokens + (now - self._at) * self.rate)
-        self._at = now
+                self._sleep(pause)

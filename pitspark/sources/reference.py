@@ -38,7 +38,7 @@ def membership_observations(intervals: DataFrame, *, universe: str, run_id: str
 
 def mapping(spark: SparkSession, path: str) -> DataFrame:
     """kind, value, security_id, valid_from, valid_to, known_from, confidence."""
-    df = csv.read_csv(spark, path, ["kind", "value", "security_id", "valid_from"])
+    df = csv.read_csv(spark, path, "kind value security_id valid_from".split())
     out = df.select("kind", "value", "security_id", csv.date_cell(df, "valid_from").alias("valid_from"), csv.date_cell(df, "valid_to", required=False).alias("valid_to"), csv.date_cell(df, "known_from", required=False).alias("known_from"), F.coalesce(csv.number_cell(df, "confidence", required=False), F.lit(1.0)).alias("confidence"))
     if bad := out.withColumn("why", entities.check_mapping(out)).where("why IS NOT NULL").first():
         raise ValueError(f"{path}: {bad['kind']} {bad['value']}: {bad['why']}")

@@ -33,7 +33,7 @@ def test_ulid_column_equals_python(spark):
 
 
 def test_normalize(spark):
-    cases = [("cashtag", " $$aaa", "AAA"), ("ticker", "abc ", "ABC"), ("cik", "320193", "0000320193"), ("cik", "000", "000"), ("company_name", " A  b ", "a b"), ("isin", " x ", "x")]
+    cases = [("cashtag", " $$aaa", "AAA"), ("ticker", "abc ", "ABC"), ("cik", "4711", "0000004711"), ("cik", "000", "000"), ("company_name", " A  b ", "a b"), ("isin", " x ", "x")]
     df = spark.createDataFrame(cases, "k string, v string, e string").select("e", S.normalize(F.col("k"), F.col("v")).alias("n"))
     assert all(r["n"] == r["e"] for r in df.collect())
 
@@ -137,7 +137,7 @@ def test_universe_keeps_names_until_their_removal_is_known(spark):
     df = spark.createDataFrame(rows, "entity string, added_on date, announced_on date, removed_on date, removed_announced_on date")
     members = lambda day: [r["entity"] for r in entities.members_as_of(df, F.lit(d(day))).collect()]
     assert members("2024-01-31") == ["AAA", "ZZZ"]
-    assert members("2024-02-10") == ["AAA", "BBB", "ZZZ"]
+    assert " ".join(members("2024-02-10")) == "AAA BBB ZZZ"
     assert members("2024-02-16") == ["AAA", "BBB"]
     assert entities.membership_edges(df, "u").count() == 4
 
