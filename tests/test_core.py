@@ -70,7 +70,7 @@ def test_thin_newest_vintage_hides_its_event(spark):
     assert [(r["entity"], r["value"]) for r in pit.latest_in_force(read, F.col("value")).collect()] == [("S", 1.0)]
 
 
-def test_many_cuts_equal_single_reads(spark):
+def test_many_cuts_equal_single_reads(spark, monkeypatch):
     import random
 
     r = random.Random(4)
@@ -78,6 +78,8 @@ def test_many_cuts_equal_single_reads(spark):
     cuts = spark.createDataFrame([(k, k) for k in (0, 3, 3, 7, 11, 15)], "c long, as_of_ns long").distinct()
     many = {(x["c"], x["observation_id"]) for x in pit.pit_read_dates(rows, cuts).collect()}
     assert many == {(c, x["observation_id"]) for c in (0, 3, 7, 11, 15) for x in pit.pit_read(rows, as_of_ns=c).collect()}
+    monkeypatch.setattr(pit, "CUT_BUCKET_NS", 4)
+    assert many == {(x["c"], x["observation_id"]) for x in pit.pit_read_dates(rows, cuts, max_broadcast=2).collect()}
 
 
 def _section(spark, values):

@@ -7,11 +7,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from pitspark import cli, times
+from pitspark import cli, schema, times
 from pitspark.operators import guard, store
 from pitspark.plans import adapters, backtest, factors, ingest
 from pitspark.sources import csv, edgar, market, ratelimit, reference, settings
-from pitspark.streaming.poll import Poller
+from pitspark.streaming.poll import Poller, stream_files
 
 NS = lambda *a: times.to_ns(datetime(*a, tzinfo=UTC))
 NOW = NS(2026, 1, 1)
@@ -115,6 +115,23 @@ def test_poll_holds_future_rows_back_and_keeps_its_floor(spark, tmp_path):
     assert got == [[10, 20], [40], [90]]
 
 
+def test_whole_files_stream_into_the_store_once(spark, tmp_path):
+    s = store.SignalStore(spark, tmp_path / "s")
+    landing = tmp_path / "landing"
+
+    def land(name, entity):
+        _frame(spark, [("x", entity, 0, 10, "v1", "1", "")]).rows.write.parquet(str(landing / name))
+
+    def sink(rows, batch):
+        s.write(guard.Guard().split(rows, manifest=guard.Manifest(), mode="live", now_ns=NOW)[0], run_id=f"batch-{batch}")
+
+    for name, entity in (("a", "A"), ("b", "B")):
+        land(name, entity)
+        query = stream_files(spark, str(landing / "*"), schema.OBSERVATION, sink, str(tmp_path / "checkpoint"))
+        assert query.awaitTermination(120)
+    assert sorted((r["native_entity"], r["run_id"]) for r in s.audit().collect()) == [("A", "batch-0"), ("B", "batch-1")]
+
+
 def test_csv_failures_are_loud(spark, tmp_path):
     bad = tmp_path / "bad.csv"
     bad.write_text("ticker,date,open,high,low,close\nA,2024-01-01,1,1,1,1\n")
