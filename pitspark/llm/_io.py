@@ -32,4 +32,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     at = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    written = df.sparkSession.read.schema(df.schema).parquet(at)
+    written.scratch_path = at
+    return written
+
+
+def remove(written: DataFrame) -> None:
+    """Deletes what ``table`` wrote. Everything that comes from it must have been cut before."""
+    jvm = written.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(written.scratch_path)
+    path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ d words differ in at most d bits), and are then verified on their full sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.llm._io import cut, table
+from pitspark.llm._io import cut, remove, table
 from pitspark.llm._text import _K1, _K2, _LOWER, buffers, hash_spans, list_array, mix, planes, slices, unplanes, word_spans, words
 from pitspark.llm.minhash import confirm
 
@@ -158,11 +159,12 @@ def _picker(bits: np.ndarray, column: str) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def _texts(docs: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
-    """doc (key, line) and text of the lines in ``wanted`` (doc), and of a few others."""
-    bits = _bits(wanted, F.xxhash64("doc.key", "doc.line").bitwiseAND(PICK_BITS - 1))
-    every = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    found = every.select("key", "line", "text", F.xxhash64("key", "line").bitwiseAND(PICK_BITS - 1).alias("slot")).mapInArrow(_picker(bits, "slot"), f"key {kind}, line int, text string, slot long")
-    return found.select(F.struct("key", "line").alias("doc"), "text")
+    """doc (key, line) and text of the lines in ``wanted`` (doc). A filter of fixed size first drops most other documents."""
+    bits = _bits(wanted, F.xxhash64("doc.key").bitwiseAND(PICK_BITS - 1))
+    found = docs.select("key", "text", F.xxhash64("key").bitwiseAND(PICK_BITS - 1).alias("slot")).mapInArrow(_picker(bits, "slot"), f"key {kind}, text string, slot long")
+    every = found.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    lines = wanted.select("doc.key", "doc.line").distinct()
+    return every.join(lines, ["key", "line"], "left_semi").select(F.struct("key", "line").alias("doc"), "text")
 
 
 def _at(prefix: str) -> Column:
@@ -191,6 +193,8 @@ def removed_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     classes = table(classes, "line-classes")
     is_first = (F.col("at.key") == F.col("key")) & (F.col("at.line") == F.col("line"))
     copies = every.select("key", "line", "fp1", "fp2", "n").join(classes.where("copies > 1").select("fp1", "fp2", "n", "at"), ["fp1", "fp2", "n"]).where(~is_first).select("key", "line")
+    copies = cut(copies)
+    remove(every)
     whole = classes.where("size(toks) > 0").select("at.key", "at.line", "n", "b1", "b2", F.arrays_zip("toks", "places").alias("z"))
 
     # first each line against its likeliest candidate only; a line that this removes needs no other
@@ -200,14 +204,43 @@ def removed_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     done = cut(confirm(likeliest, _texts(plain, kind, sides(likeliest)).dropDuplicates(["doc"]), 1, percent).select("b"))
     left = cut(likeliest.join(done, "b", "left_anti").select("b.key", "b.line", "a"))
     more = cut(_exploded(whole.join(left.select("key", "line"), ["key", "line"], "left_semi")))
-    fields = f"key {kind}, line int, n int, b1 long, b2 long, tok int, p int"
-    near = index.mapInArrow(_picker(_bits(more, F.col("tok").cast("long").bitwiseAND(PICK_BITS - 1)), "tok"), fields)
+    size = _size_class(F.col("n"), percent)
+    sized = more.select("tok", F.explode(F.sequence(size - 1, size + 1)).alias("c"))
+    near = _with_words(whole, kind, percent, _bits(sized, _word_slot("tok", "c")))
     pairs = _candidates(near, more, percent).select("a", "b").distinct()
     pairs = cut(pairs.join(left.select(F.struct("key", "line").alias("b"), "a"), ["a", "b"], "left_anti"))
+    remove(classes)
     also = confirm(pairs, _texts(plain, kind, sides(pairs)).dropDuplicates(["doc"]), 1, percent).select("b").distinct()
     return copies.union(done.union(also).select("b.key", "b.line")).distinct()
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """Sizes of similar lines lie in one class or in neighbouring ones: a class spans a little more than their greatest ratio."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent + 1e-3))).cast("int")
+
+
+def _word_slot(tok: str, size: str) -> Column:
+    return (F.col(tok).cast("long") + F.col(size).cast("long") * 7_368_787).bitwiseAND(PICK_BITS - 1)
+
+
+def _with_words(lines: DataFrame, kind: str, percent: int, bits: np.ndarray) -> DataFrame:
+    """``_exploded``, but only words whose bit is set for the line's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks, places = (batch.column(c) for c in ("toks", "places"))
+            own = np.repeat(np.arange(batch.num_rows), toks.value_lengths().to_numpy())
+            size = batch.column("size_class").to_numpy().astype(np.int64)[own]
+            at = (toks.flatten().to_numpy().astype(np.int64) + size * 7_368_787) & (PICK_BITS - 1)
+            hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            own = own[hit]
+            rest = [batch.column(c).take(pa.array(own)) for c in ("key", "line", "n", "b1", "b2")]
+            yield pa.RecordBatch.from_arrays([*rest, toks.flatten().take(pa.array(hit)), places.flatten().take(pa.array(hit))], names=["key", "line", "n", "b1", "b2", "tok", "p"])
+
+    flat = lines.select("key", "line", "n", "b1", "b2", F.col("z.toks").alias("toks"), F.col("z.places").alias("places"), _size_class(F.col("n"), percent).alias("size_class"))
+    return flat.mapInArrow(run, f"key {kind}, line int, n int, b1 long, b2 long, tok int, p int")
+
+
 def _exploded(lines: DataFrame) -> DataFrame:
     return lines.select("key", "line", "n", "b1", "b2", F.explode("z").alias("z")).select("key", "line", "n", "b1", "b2", F.col("z.toks").alias("tok"), F.col("z.places").alias("p"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitspark.llm._graph import components
-from pitspark.llm._io import cut, table
+from pitspark.llm._io import cut, remove, table
 from pitspark.llm._text import _K1, _K2, list_array, mix, shingles, slices
 
 #: At a similarity of 0.8 a chunk of 6 has at most one difference with probability 0.655, so that one
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     more = x.join(y, "k").where("cx <> cy AND (x < y OR cy = hc)").where(_near("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
     comp = components(links.union(confirm(more, texts, shingle, percent)))
+    remove(texts)
 
     whole = member.select("doc", "rep").distinct().join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc", "n_shingles").join(whole, "doc", "left")
