@@ -22,9 +22,11 @@ from pitspark.llm.minhash import confirm
 
 #: Words are counted in so many buckets by hash, in codes of one byte. Any order of words is exact; that of the
 #: counts makes lists short. A bucket that counts one word in all holds none that two lines share.
-RARITY_BUCKETS, RARITY_RANGES = 1 << 24, 64
+RARITY_BUCKETS, RARITY_RANGES = 1 << 23, 64
 #: Bits of the filter that picks the texts of candidate lines; fuller, it only lets more texts pass.
 PICK_BITS = 1 << 24
+#: Text that is in arrays at once.
+SLICE_BYTES = 2 << 20
 PERCENT, MIN_WORDS = 80, 5
 
 
@@ -36,7 +38,7 @@ def _codes(counts: np.ndarray) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64)
+    return (h >> np.uint64(41)).astype(np.int64)
 
 
 def _rarity(docs: DataFrame) -> np.ndarray:
@@ -46,7 +48,7 @@ def _rarity(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_BUCKETS, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 h, _ = words(part.column("text"))
                 np.add.at(total, _bucket(h), np.uint32(1))
         found = []
@@ -109,7 +111,7 @@ def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 h, line, code, row, number = _line_sets(part.column("text"), rarity)
                 n = np.bincount(line, minlength=len(row))
                 keep = n[line] >= min_words
