@@ -45,7 +45,7 @@ def _bounds(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
 def _body(part: pa.RecordBatch) -> bytes:
     """A block's keys and texts."""
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
         out.write_batch(part)
     return sink.getvalue()
 
