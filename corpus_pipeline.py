@@ -30,7 +30,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less their repeated lines; a document of which no word is left goes, n_chars follows the text."""
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, min_words=1)
     emptied = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
     return out.where(~emptied | F.col("text").isNull()).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("n_lines", "n_removed")
 

@@ -106,8 +106,8 @@ def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """key, line, n, fp1, fp2 (fingerprints of the set), b1, b2 (parity), and the words of the prefix that occur more than
-    once, toks, with their places in the order, places, of every line of ``min_words`` distinct words."""
+    """key, line, n, fp1, fp2 (fingerprints of the set), b1, b2 (parity), and the words of the prefix (none where only an equal
+    set can match) that occur more than once, toks, with their places in the order, places, of every line of ``min_words`` distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,6 +124,8 @@ def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.n
                 own = np.repeat(np.arange(len(full)), n)
                 size = n - (percent * n + 99) // 100 + 1
                 place = np.arange(len(h)) - starts[own]
+                # a set that not even one word more leaves similar is matched by equal sets only
+                size[percent * (n + 1) > 100 * n] = 0
                 prefix = (place < size[own]) & (code > 1)
                 toks = (h[prefix] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 cuts = np.append(0, np.cumsum(np.bincount(own[prefix], minlength=len(full))))

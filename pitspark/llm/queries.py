@@ -45,7 +45,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
