@@ -362,7 +362,7 @@ def write_conflicts(spark, sf_dir):
 def write_identity(spark, sf_dir):
     o = observations(spark, sf_dir).select("observation_id", F.col("value").cast("string").alias("payload"), "event_time_ns", "knowledge_time_ns")
     n = F.col("observation_id").cast("long")
-    staged = observations(spark, sf_dir).where(n % 2 == 0).select("observation_id", F.when(n % 17 == 0, F.col("value") + 1).otherwise(F.col("value")).cast("string").alias("payload"), "event_time_ns", "knowledge_time_ns")
+    staged = observations(spark, sf_dir).select("observation_id", F.when(n % 17 == 0, F.col("value") + 1).otherwise(F.col("value")).cast("string").alias("payload"), "event_time_ns", "knowledge_time_ns")
     return store.stored_already(staged, o)
 
 

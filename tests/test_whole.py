@@ -28,3 +28,9 @@ def test_members_come_from_every_customer(spark):
 def test_edges_come_from_every_customer(spark):
     want = [(e, "added", told.isoformat()) for e, _, told, _, _ in _intervals()] + [(e, "removed", told.isoformat()) for e, _, _, _, told in _intervals() if told]
     assert sorted((r["entity"], r["edge"], r["vintage_id"]) for r in queries.membership_edges(spark, SF).collect()) == sorted(want)
+
+
+def test_identity_stages_every_event(spark):
+    ids = pq.read_table(f"{SF}/events.parquet", columns=["event_id"]).column(0).to_pylist()
+    got = [r["observation_id"] for r in queries.write_identity(spark, SF).collect()]
+    assert sorted(got) == sorted(map(str, ids))
