@@ -36,9 +36,13 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, Jaccard 0.8."""
+    """One document of each group of near duplicates: five-word shingles, Jaccard 0.8. Rows of one doc_id and equal texts
+    are one document, with the least of their other columns; rows with a null doc_id are compared with nothing and pass."""
     kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    once = once.select(*(F.col(f"rest.{c}").alias(c) if c in rest else c for c in docs.columns))
+    return once.unionByName(docs.where("doc_id IS NULL"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
