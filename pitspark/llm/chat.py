@@ -63,7 +63,7 @@ class Rendered:
     rewrites: list[int] = field(default_factory=list)
 
 
-#: A conversation of more turns is rendered in windows of this many, and their sum checked against one render of the whole.
+#: The built-in template renders a conversation of more turns in windows of this many, and their sum is checked against one render of the whole.
 WINDOW = 512
 
 
@@ -71,10 +71,10 @@ def render(turns: Sequence[Turn], template: Template = marked_turns, window: int
     """Renders every prefix and compares consecutive outputs. Where turn k rewrites history, its span
     begins at the first character that differs, and the spans before it are cut there.
 
-    Prefixes cost the square of the turns. A long conversation is therefore rendered window by window, each
-    after the last turn of the one before; if no window rewrites history and the parts add up to what the
-    template makes of all turns, the result stands, else every prefix of the whole is rendered after all."""
-    if len(turns) <= window:
+    Prefixes cost the square of the turns. The built-in template only appends, so it renders a long conversation window
+    by window, each after the last turn of the one before; if the parts do not add up to what it makes of all turns,
+    every prefix is rendered after all. Any other template is rendered on every prefix, at any length."""
+    if len(turns) <= window or template is not marked_turns:
         return _prefixes(turns, 0, template)
     out = Rendered()
     for at in range(0, len(turns), window):

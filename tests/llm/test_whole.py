@@ -5,7 +5,7 @@ import random
 import re
 
 import corpus_pipeline
-from pitspark.llm import queries
+from pitspark.llm import chat, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +52,11 @@ def test_near_copies_choose_rows(spark, tmp_path):
     out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS), str(tmp_path))
     assert out.columns == list(corpus_pipeline.COLUMNS)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[1], rows[3], rows[5], rows[7]], key=repr)
+
+
+def test_passing_rewrites_of_long_prefixes_are_reported():
+    def drops(turns):
+        return chat.marked_turns(turns[1:] if len(turns) > 600 and turns[-1][0] == "user" else turns)
+
+    turns = [("user" if k % 2 == 0 else "assistant", "x") for k in range(604)]
+    assert chat.render(turns, drops).rewrites == [600, 601, 602, 603]
