@@ -84,10 +84,10 @@ def cross_sectional_rank(section: DataFrame, **_: Any) -> DataFrame:
 
 @register_op("zscore")
 def zscore(section: DataFrame, **_: Any) -> DataFrame:
-    """(x - mean) / sample deviation; equal values give 0, a section of one fails the build."""
+    """(x - mean) / sample deviation, never a negative zero; equal values give 0, a section of one fails the build."""
     n, mean, sd = F.count("*").over(_over()), F.avg(VALUE).over(_over()), F.stddev_samp(VALUE).over(_over())
     flat = F.max(VALUE).over(_over()) == F.min(VALUE).over(_over())
-    z = F.when(F.col("_flat"), F.lit(0.0)).otherwise((F.col(VALUE) - F.col("_mean")) / F.col("_sd"))
+    z = F.when(F.col("_flat"), F.lit(0.0)).otherwise((F.col(VALUE) - F.col("_mean")) / F.col("_sd") + F.lit(0.0))
     with_stats = section.withColumns({"_n": n, "_mean": mean, "_sd": sd, "_flat": flat})
     return with_stats.withColumn(VALUE, _must(F.col("_n") > 1, z, "zscore: a section has one member")).drop("_n", "_mean", "_sd", "_flat")
 

@@ -23,7 +23,7 @@ def db():
 
 def _plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.6f}"
+        return "nan" if math.isnan(v) else f"{round(v, 6) + 0.0:.6f}"
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
