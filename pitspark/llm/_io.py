@@ -22,23 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the reliable checkpoint folder; files go when the session no longer refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+_WRITTEN: list[str] = []
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     at = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     written = df.sparkSession.read.schema(df.schema).parquet(at)
     written.scratch_path = at
+    _WRITTEN.append(at)
     return written
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: a table in the shared folder, which survives the loss of executors."""
+    return table(df, "cut")
+
+
 def remove(written: DataFrame) -> None:
     """Deletes what ``table`` wrote. Everything that comes from it must have been cut before."""
-    jvm = written.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(written.scratch_path)
-    path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(written.sparkSession, written.scratch_path)
+    _WRITTEN.remove(written.scratch_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that ``table`` and ``cut`` wrote in this process. Results that were not written elsewhere end with it."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

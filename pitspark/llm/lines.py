@@ -22,12 +22,14 @@ from pitspark.llm.minhash import confirm
 
 #: Words are counted in so many buckets by hash, in codes of one byte. Any order of words is exact; that of the
 #: counts makes lists short. A bucket that counts one word in all holds none that two lines share.
-RARITY_BUCKETS, RARITY_RANGES = 1 << 23, 64
+RARITY_BUCKETS, RARITY_RANGES = 1 << 23, 512
 #: Bits of the filter that picks the texts of candidate lines; fuller, it only lets more texts pass.
 PICK_BITS = 1 << 24
 #: Text that is in arrays at once.
 SLICE_BYTES = 2 << 20
-PERCENT, MIN_WORDS = 80, 5
+PERCENT, MIN_WORDS = 80, 1
+#: A Hamming distance of parities stands above the number of a class in one long.
+HAM_SHIFT = 55
 
 
 def _codes(counts: np.ndarray) -> np.ndarray:
@@ -106,17 +108,15 @@ def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """key, line, n, fp1, fp2 (fingerprints of the set), b1, b2 (parity), and the words of the prefix (none where only an equal
-    set can match) that occur more than once, toks, with their places in the order, places, of every line of ``min_words`` distinct words."""
+    """key, h, row, line, n, fp1, fp2 (fingerprints of the set), b1, b2 (parity) of every line with a word, and z: the words of its
+    prefix that occur more than once, each above its place in the order; none where only an equal set can match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 h, line, code, row, number = _line_sets(part.column("text"), rarity)
                 n = np.bincount(line, minlength=len(row))
-                keep = n[line] >= min_words
-                h, line, code = h[keep], line[keep], code[keep]
-                full = np.flatnonzero(n >= min_words)
+                full = np.flatnonzero(n)
                 n = n[full]
                 starts = np.cumsum(n) - n
                 sums = [np.add.reduceat(mix(x), starts) if len(full) else np.zeros(0, np.uint64) for x in (h + _K1, h ^ _K2)]
@@ -125,20 +125,21 @@ def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.n
                 size = n - (percent * n + 99) // 100 + 1
                 place = np.arange(len(h)) - starts[own]
                 # a set that not even one word more leaves similar is matched by equal sets only
-                size[percent * (n + 1) > 100 * n] = 0
+                size[(percent * (n + 1) > 100 * n) | (n < min_words)] = 0
                 prefix = (place < size[own]) & (code > 1)
-                toks = (h[prefix] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                z = (h[prefix] << np.uint64(32)) | place[prefix].astype(np.uint64)
                 cuts = np.append(0, np.cumsum(np.bincount(own[prefix], minlength=len(full))))
+                at = pa.array(row[full])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("key").take(pa.array(row[full])), pa.array(number[full].astype(np.int32)), pa.array(n.astype(np.int32)),
+                        *(part.column(c).take(at) for c in ("key", "h", "row")), pa.array(number[full].astype(np.int32)), pa.array(n.astype(np.int32)),
                         pa.array(sums[0].view(np.int64)), pa.array((sums[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        *(pa.array(p.view(np.int64)) for p in parity), list_array(toks, cuts, pa.int32()), list_array(place[prefix].astype(np.int32), cuts, pa.int32()),
+                        *(pa.array(p.view(np.int64)) for p in parity), list_array(z.view(np.int64), cuts, pa.int64()),
                     ],
-                    names=["key", "line", "n", "fp1", "fp2", "b1", "b2", "toks", "places"],
+                    names=["key", "h", "row", "line", "n", "fp1", "fp2", "b1", "b2", "z"],
                 )
 
-    return docs.mapInArrow(run, f"key {kind}, line int, n int, fp1 long, fp2 int, b1 long, b2 long, toks array<int>, places array<int>")
+    return docs.select("key", "h", "row", "text").mapInArrow(run, f"key {kind}, h long, row long, line int, n int, fp1 long, fp2 int, b1 long, b2 long, z array<long>")
 
 
 def _bits(rows: DataFrame, slot: Column) -> np.ndarray:
@@ -162,60 +163,60 @@ def _picker(bits: np.ndarray, column: str) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def _texts(docs: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
-    """doc (key, line) and text of the lines in ``wanted`` (doc). A filter of fixed size first drops most other documents."""
-    bits = _bits(wanted, F.xxhash64("doc.key").bitwiseAND(PICK_BITS - 1))
-    found = docs.select("key", "text", F.xxhash64("key").bitwiseAND(PICK_BITS - 1).alias("slot")).mapInArrow(_picker(bits, "slot"), f"key {kind}, text string, slot long")
-    every = found.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    lines = wanted.select("doc.key", "doc.line").distinct()
-    return every.join(lines, ["key", "line"], "left_semi").select(F.struct("key", "line").alias("doc"), "text")
-
-
-def _at(prefix: str) -> Column:
-    return F.struct(F.col(f"{prefix}.key").alias("key"), F.col(f"{prefix}.line").alias("line"))
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc (number of the class) and text of the lines in ``wanted`` (doc, row, line). A filter of fixed size first drops most other rows."""
+    bits = _bits(wanted, F.xxhash64("row").bitwiseAND(PICK_BITS - 1))
+    found = docs.select("row", "text", F.xxhash64("row").bitwiseAND(PICK_BITS - 1).alias("slot")).mapInArrow(_picker(bits, "slot"), "row long, text string, slot long")
+    every = found.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    return every.join(wanted, ["row", "line"]).select("doc", "text")
 
 
 def _candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """a, b and ham of pairs that share a prefix word and pass the filters; a is earlier than b."""
-    total, most = F.col("x.n") + F.col("y.n"), F.least("x.p", "y.p") + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    n, p = ({s: f(F.col(f"{s}.np")) for s in "xy"} for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(0xFFFFFFFF)))
+    total, most = n["x"] + n["y"], F.least(p["x"], p["y"]) + F.least(n["x"] - p["x"], n["y"] - p["y"])
     ham = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
-    earlier = (F.col("x.key") < F.col("y.key")) | ((F.col("x.key") == F.col("y.key")) & (F.col("x.line") < F.col("y.line")))
-    alike = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (most * (100 + percent) >= total * percent) & (ham * (100 + percent) <= total * (100 - percent))
-    joined = x.alias("x").join(y.alias("y"), (F.col("x.tok") == F.col("y.tok")) & earlier & alike)
-    return joined.select(_at("x").alias("a"), _at("y").alias("b"), ham.alias("ham"))
+    alike = (F.least(n["x"], n["y"]) * 100 >= F.greatest(n["x"], n["y"]) * percent) & (ham * (100 + percent) <= total * (100 - percent)) & (most * (100 + percent) >= total * percent)
+    joined = x.alias("x").join(y.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & alike)
+    return joined.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), ham.alias("ham"))
 
 
-def removed_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """key and line (0-based) of every line that an earlier line matches (see ``dedup_lines``)."""
-    kind = docs.schema[key].dataType.simpleString()
-    plain = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+def removed_lines(rows: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """row and line (0-based) of every line that an earlier line matches (see ``dedup_lines``). ``rows``: row (unique), key, h and
+    text; it is read several times and must be the same each time, as a written table is."""
+    kind = rows.schema["key"].dataType.simpleString()
+    plain = rows.where("key IS NOT NULL")
     rarity = _rarity(plain)
     every = table(_sets(plain, kind, min_words, percent, rarity), "line-sets")
     # lines of equal sets are one class, at the place of the first of them
-    kept = ("b1", "b2", "toks", "places")
-    classes = every.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("key", "line")).alias("at"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in kept))
-    classes = table(classes, "line-classes")
-    is_first = (F.col("at.key") == F.col("key")) & (F.col("at.line") == F.col("line"))
-    copies = every.select("key", "line", "fp1", "fp2", "n").join(classes.where("copies > 1").select("fp1", "fp2", "n", "at"), ["fp1", "fp2", "n"]).where(~is_first).select("key", "line")
-    copies = cut(copies)
+    classes = every.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("key", "h", "row", "line")).alias("at"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("b1", "b2", "z")))
+    # numbers of classes follow their places, so that one number identifies and orders them
+    classes = table(classes.orderBy("at").select(F.monotonically_increasing_id().alias("c"), "at.row", "at.line", "fp1", "fp2", "n", "copies", "b1", "b2", "z"), "line-classes")
+    if (classes.agg(F.max("c")).first()[0] or 0) >> HAM_SHIFT:
+        raise ValueError("too many partitions: the number of a class must fit 55 bits")
+    again = classes.where("copies > 1").select("fp1", "fp2", "n", F.col("row").alias("_r"), F.col("line").alias("_l"))
+    copies = cut(every.select("row", "line", "fp1", "fp2", "n").join(again, ["fp1", "fp2", "n"]).where("row <> _r OR line <> _l").select("row", "line"))
     remove(every)
-    whole = classes.where("size(toks) > 0").select("at.key", "at.line", "n", "b1", "b2", F.arrays_zip("toks", "places").alias("z"))
+    whole = classes.where("size(z) > 0").select("c", "n", "b1", "b2", "z")
 
     # first each line against its likeliest candidate only; a line that this removes needs no other
     index = _exploded(whole)
-    likeliest = cut(_candidates(index, index, percent).groupBy("b").agg(F.min(F.struct("ham", "a")).alias("m")).select("m.a", "b"))
-    sides = lambda d: d.select(F.col("a").alias("doc")).union(d.select("b"))
-    done = cut(confirm(likeliest, _texts(plain, kind, sides(likeliest)).dropDuplicates(["doc"]), 1, percent).select("b"))
-    left = cut(likeliest.join(done, "b", "left_anti").select("b.key", "b.line", "a"))
-    more = cut(_exploded(whole.join(left.select("key", "line"), ["key", "line"], "left_semi")))
-    size = _size_class(F.col("n"), percent)
+    packed = F.min(F.shiftleft(F.col("ham").cast("long"), HAM_SHIFT).bitwiseOR(F.col("a"))).alias("m")
+    likeliest = cut(_candidates(index, index, percent).groupBy("b").agg(packed).select(F.col("m").bitwiseAND((1 << HAM_SHIFT) - 1).alias("a"), "b"))
+    sides = lambda d: d.select(F.col("a").alias("doc")).union(d.select("b")).distinct()
+    placed = lambda d: cut(sides(d).join(classes.select(F.col("c").alias("doc"), "row", "line"), "doc"))
+    done = cut(confirm(likeliest, _texts(plain, placed(likeliest)), 1, percent).select("b"))
+    left = cut(likeliest.join(done, "b", "left_anti"))
+    more = cut(_exploded(whole.join(left.select(F.col("b").alias("c")), "c", "left_semi")))
+    size = _size_class(F.shiftright("np", 32), percent)
     sized = more.select("tok", F.explode(F.sequence(size - 1, size + 1)).alias("c"))
-    near = _with_words(whole, kind, percent, _bits(sized, _word_slot("tok", "c")))
+    near = _with_words(whole, percent, _bits(sized, _word_slot("tok", "c")))
     pairs = _candidates(near, more, percent).select("a", "b").distinct()
-    pairs = cut(pairs.join(left.select(F.struct("key", "line").alias("b"), "a"), ["a", "b"], "left_anti"))
+    pairs = cut(pairs.join(left, ["a", "b"], "left_anti"))
+    also = confirm(pairs, _texts(plain, placed(pairs)), 1, percent).select("b").distinct()
+    out = cut(copies.union(done.union(also).select(F.col("b").alias("c")).join(classes.select("c", "row", "line"), "c").select("row", "line")))
     remove(classes)
-    also = confirm(pairs, _texts(plain, kind, sides(pairs)).dropDuplicates(["doc"]), 1, percent).select("b").distinct()
-    return copies.union(done.union(also).select("b.key", "b.line")).distinct()
+    return out
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -227,41 +228,50 @@ def _word_slot(tok: str, size: str) -> Column:
     return (F.col(tok).cast("long") + F.col(size).cast("long") * 7_368_787).bitwiseAND(PICK_BITS - 1)
 
 
-def _with_words(lines: DataFrame, kind: str, percent: int, bits: np.ndarray) -> DataFrame:
+def _with_words(lines: DataFrame, percent: int, bits: np.ndarray) -> DataFrame:
     """``_exploded``, but only words whose bit is set for the line's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toks, places = (batch.column(c) for c in ("toks", "places"))
-            own = np.repeat(np.arange(batch.num_rows), toks.value_lengths().to_numpy())
-            size = batch.column("size_class").to_numpy().astype(np.int64)[own]
-            at = (toks.flatten().to_numpy().astype(np.int64) + size * 7_368_787) & (PICK_BITS - 1)
+            z = batch.column("z")
+            own = np.repeat(np.arange(batch.num_rows), z.value_lengths().to_numpy())
+            flat = z.flatten().to_numpy()
+            tok = (flat >> 32).astype(np.int32)
+            at = (tok.astype(np.int64) + batch.column("size_class").to_numpy().astype(np.int64)[own] * 7_368_787) & (PICK_BITS - 1)
             hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             own = own[hit]
-            rest = [batch.column(c).take(pa.array(own)) for c in ("key", "line", "n", "b1", "b2")]
-            yield pa.RecordBatch.from_arrays([*rest, toks.flatten().take(pa.array(hit)), places.flatten().take(pa.array(hit))], names=["key", "line", "n", "b1", "b2", "tok", "p"])
+            c, b1, b2 = (batch.column(x).take(pa.array(own)) for x in ("c", "b1", "b2"))
+            np_ = (batch.column("n").to_numpy().astype(np.int64)[own] << 32) | (flat[hit] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([c, pa.array(np_), b1, b2, pa.array(tok[hit])], names=["c", "np", "b1", "b2", "tok"])
 
-    flat = lines.select("key", "line", "n", "b1", "b2", F.col("z.toks").alias("toks"), F.col("z.places").alias("places"), _size_class(F.col("n"), percent).alias("size_class"))
-    return flat.mapInArrow(run, f"key {kind}, line int, n int, b1 long, b2 long, tok int, p int")
+    return lines.select("*", _size_class(F.col("n"), percent).alias("size_class")).mapInArrow(run, "c long, np long, b1 long, b2 long, tok int")
 
 
 def _exploded(lines: DataFrame) -> DataFrame:
-    return lines.select("key", "line", "n", "b1", "b2", F.explode("z").alias("z")).select("key", "line", "n", "b1", "b2", F.col("z.toks").alias("tok"), F.col("z.places").alias("p"))
+    """A row per word of a prefix: class c, np (size above the word's place), parity and tok."""
+    size = F.shiftleft(F.col("n").cast("long"), 32)
+    return lines.select("c", "n", "b1", "b2", F.explode("z").alias("w")).select("c", size.bitwiseOR(F.col("w").bitwiseAND(0xFFFFFFFF)).alias("np"), "b1", "b2", F.shiftright("w", 32).cast("int").alias("tok"))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, ``n_lines`` and ``n_removed``.
 
     Lines are parts between line feeds; a line's words are those between ASCII white space, A-Z folded. A
-    line is removed if an earlier line, in the order of key and line number, has a set of words with a
-    Jaccard similarity of ``percent`` or more, whether or not that line is itself removed. Lines of fewer than
-    ``min_words`` distinct words stay. A null text stays null and has no lines; rows with a null key keep all lines and
-    remove none; rows that repeat a key have their lines of one number treated alike. Other columns
-    pass through (n_lines and n_removed are replaced); an empty table stays empty."""
-    gone = removed_lines(docs, key=key, text=text, percent=percent, min_words=min_words).groupBy("key").agg(F.collect_set("line").alias("_gone"))
-    out = docs.drop("n_lines", "n_removed").join(gone.withColumnRenamed("key", "_key"), F.col(f"`{key}`") == F.col("_key"), "left").drop("_key")
-    parts = F.split(F.col(f"`{text}`"), "\n", -1)
-    count = F.coalesce(F.size("_gone"), F.lit(0))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    n_lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(parts))
-    return out.withColumns({"n_lines": n_lines, "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(count)}).withColumn(text, F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(kept)).drop("_gone")
+    line with a word is removed if an earlier line has a set of words with a Jaccard similarity of ``percent`` or more,
+    whether or not that line is itself removed. Lines of fewer than ``min_words`` distinct words match equal
+    sets only. Earlier: a smaller key, then (rows that repeat a key are documents of their own) a smaller hash
+    of the text; of equal texts either; then a smaller number of the line.
+
+    A null text stays null and has no lines; lines without words stay; rows with a null key keep all lines and remove none.
+    Other columns pass through under any name (n_lines and n_removed are replaced); an empty table stays
+    empty. Rows are numbered in a table that is written once; the number is their identity."""
+    rest = docs.drop("n_lines", "n_removed")
+    staged = table(rest.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row")), "line-rows")
+    value = F.col(f"record.`{text}`").cast("string")
+    gone = removed_lines(staged.select("row", F.col(f"record.`{key}`").alias("key"), F.xxhash64(value).alias("h"), value.alias("text")), percent=percent, min_words=min_words)
+    out = staged.join(gone.groupBy("row").agg(F.collect_set("line").alias("gone")), "row", "left")
+    parts = F.split(value, "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    made = F.when(F.col("gone").isNull(), F.col(f"record.`{text}`")).otherwise(kept).alias(text)
+    n_lines = F.when(value.isNull(), 0).otherwise(F.size(parts)).alias("n_lines")
+    return out.select(*(made if c == text else F.col(f"record.`{c}`").alias(c) for c in rest.columns), n_lines, F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))

@@ -1,9 +1,10 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's set of k-word shingles gives a signature of ``CHUNKS * WIDTH`` minima. By the pigeonhole
-principle two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` places have a chunk with at
-most ERRORS differences. Every chunk is indexed under each way to leave out ERRORS of its places, so
-all such pairs share a key: none is lost. Candidates are then confirmed on the full sets.
+A document's set of k-word shingles gives a signature of ``CHUNKS * WIDTH`` minima of BITS bits each. Two
+signatures that differ in at most ``BOUND`` of these places (so also any two that differ in at most BOUND bits)
+have, by the pigeonhole principle, a chunk of WIDTH places with at most ERRORS differences. Every chunk is
+indexed under each way to leave out ERRORS of its places, so all such pairs share a key and none is lost.
+Candidates are thinned only by sizes that exclude the similarity, and confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm._graph import components
@@ -23,8 +24,12 @@ from pitspark.llm._text import _K1, _K2, list_array, mix, shingles, slices
 #: At a similarity of 0.8 a chunk of 6 has at most one difference with probability 0.655, so that one
 #: of 10 chunks does for all but 2.4e-5 of pairs; at 0.9 for all but 1e-9.
 CHUNKS, WIDTH, ERRORS = 10, 6, 1
-#: One-bit minima that thin out candidates: at 0.8 they differ in 12.8 of 128 on average, with a deviation of 3.4.
-SKETCH_BITS, SKETCH_LIMIT = 128, 34
+#: Of each minimum; five of them make a key of 80 bits, so unlike sets hardly meet by chance.
+BITS = 16
+#: Places (of CHUNKS * WIDTH) in which signatures may differ and are still sure to share a key.
+BOUND = CHUNKS * (ERRORS + 1) - 1
+#: Numbers of classes go up to this.
+LAST = (1 << 55) - 1
 
 
 def _variants() -> list[tuple[int, tuple[int, ...]]]:
@@ -35,31 +40,30 @@ def _seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _K2) | np.uint64(1)
 
 
-def _minima(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (uint64, one row a set) and sketches (two uint64 a set); sets must not be empty."""
-    n, starts = len(off) - 1, off[:-1]
-    k = CHUNKS * WIDTH
-    minima = np.empty((k, n), np.uint64)
-    for i, seed in enumerate(_seeds(k + SKETCH_BITS)[:k]):
+def _minima(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Signatures of non-empty sets: a row per place, BITS bits of the set's minimum under the place's hash function."""
+    out = np.empty((CHUNKS * WIDTH, len(off) - 1), np.uint64)
+    for i, seed in enumerate(_seeds(CHUNKS * WIDTH)):
         x = h * seed
         x ^= x >> np.uint64(32)
-        minima[i] = np.minimum.reduceat(x, starts)
-    sketch = np.zeros((n, 2), np.uint64)
-    # two bits of sketch from each minimum over 64 further functions
-    for i, seed in enumerate(_seeds(k + 64)[k:]):
-        x = h * seed
-        x ^= x >> np.uint64(29)
-        low = mix(np.minimum.reduceat(x, starts) + _K1)
-        sketch[:, 0] |= (low & np.uint64(1)) << np.uint64(i)
-        y = h * (seed ^ _K2 | np.uint64(1))
-        y ^= y >> np.uint64(31)
-        low = mix(np.minimum.reduceat(y, starts) + _K1)
-        sketch[:, 1] |= (low & np.uint64(1)) << np.uint64(i)
-    return minima, sketch
+        out[i] = mix(np.minimum.reduceat(x, off[:-1]) + _K1)
+    return out & np.uint64((1 << BITS) - 1)
+
 
+def _keys(minima: np.ndarray) -> np.ndarray:
+    """The index keys of signatures, a row per set: each chunk under each way to leave out ERRORS places."""
+    keys = np.zeros((minima.shape[1], len(_variants())), np.uint64)
+    for j, (c, keep) in enumerate(_variants()):
+        acc = np.full(minima.shape[1], j + 1, np.uint64)
+        for w in keep:
+            acc = mix(acc * _K1 + minima[c * WIDTH + w])
+        keys[:, j] = acc
+    return keys
 
-def signatures(docs: DataFrame, *, key: str, text: str, shingle: int) -> DataFrame:
-    """doc, n_shingles, fp1 and fp2 (a fingerprint of the set), keys of the index, sketch s1 and s2."""
+
+def signatures(docs: DataFrame, *, shingle: int) -> DataFrame:
+    """doc, th, n_shingles, fp1 and fp2 (a fingerprint of the set), keys of the index. ``docs``: doc, th and text."""
+    longs = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,32 +72,21 @@ def signatures(docs: DataFrame, *, key: str, text: str, shingle: int) -> DataFra
                 n = np.diff(off)
                 full = np.flatnonzero(n)
                 fp = np.zeros((len(n), 2), np.uint64)
-                keys = np.zeros((len(full), len(_variants())), np.uint64)
-                sk = np.zeros((len(n), 2), np.uint64)
+                keys = np.zeros((0, len(_variants())), np.uint64)
                 if len(full):
                     bounds = np.append(off[:-1][full], off[-1])
-                    minima, sk[full] = _minima(h, bounds)
+                    keys = _keys(_minima(h, bounds))
                     fp[full, 0] = np.add.reduceat(mix(h + _K1), bounds[:-1])
                     fp[full, 1] = np.add.reduceat(mix(h ^ _K2), bounds[:-1])
-                    for j, (c, keep) in enumerate(_variants()):
-                        acc = np.full(len(full), j + 1, np.uint64)
-                        for w in keep:
-                            acc = mix(acc * _K1 + minima[c * WIDTH + w])
-                        keys[:, j] = acc
                 at = np.zeros(len(n) + 1, np.int64)
                 np.cumsum(np.where(n > 0, len(_variants()), 0), out=at[1:])
-                longs = lambda x: pa.array(x.view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(n, pa.int64()), *(longs(np.ascontiguousarray(x)) for x in (fp[:, 0], fp[:, 1])), list_array(keys.reshape(-1).view(np.int64), at, pa.int64()), *(longs(np.ascontiguousarray(x)) for x in (sk[:, 0], sk[:, 1]))],
-                    names=["doc", "n_shingles", "fp1", "fp2", "keys", "s1", "s2"],
+                    [part.column("doc"), part.column("th"), pa.array(n, pa.int64()), longs(fp[:, 0]), longs(fp[:, 1]), list_array(keys.reshape(-1).view(np.int64), at, pa.int64())],
+                    names=["doc", "th", "n_shingles", "fp1", "fp2", "keys"],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}` AS doc", f"cast(`{text}` AS string) AS text").mapInArrow(run, f"doc {kind}, n_shingles long, fp1 long, fp2 long, keys array<long>, s1 long, s2 long")
-
-
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2"))) <= SKETCH_LIMIT
+    kind = docs.schema["doc"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc {kind}, th long, n_shingles long, fp1 long, fp2 long, keys array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -127,45 +120,61 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     A null or empty text, or one of white space, has an empty set and links with nothing. Equal sets are
     one class at once, however many rows they have. Rows with a null key are compared with nothing
-    and come back with a null component, not kept. Rows that repeat a key are one document if their
-    texts are equal; keys are otherwise taken to be unique. Other columns are left out; an empty table
-    gives none.
+    and come back with a null component, not kept. Rows that repeat a key are documents of their own, each with its own
+    text's component, and with equal texts are kept alike. Keys are of any ordered type. Other columns are left out;
+    an empty table gives none.
 
-    Classes of equal sets are found by a grouping; their representatives share index keys; under a key
-    each member is first confirmed against the member with the most copies, and only members that
+    Classes of equal sets are found by a grouping and numbered in the order of their smallest keys; the classes share index
+    keys. Under a key each member is first confirmed against the member with the most copies, and only members that
     remain apart are compared among each other, so a group of near copies costs a linear number of
     confirmations."""
-    sig = table(signatures(docs, key=key, text=text, shingle=shingle), "minhash")
-    known = sig.where("n_shingles > 0 AND doc IS NOT NULL")
-    classes = known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
-    member = known.select("doc", "fp1", "fp2", "n_shingles").join(classes, ["fp1", "fp2", "n_shingles"]).select("doc", "rep", "copies")
-    reps = known.join(cut(member.where("doc = rep").select("doc", "copies").distinct()), "doc").dropDuplicates(["doc"])
-
-    index = reps.select("doc", F.explode("keys").alias("k")).withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1").drop("n")
-    index = cut(index.join(reps.select("doc", "copies", "s1", "s2"), "doc"))
-    best = index.groupBy("k").agg(F.max_by(F.struct("doc", "s1", "s2"), F.struct("copies", -F.col("doc"))).alias("h"))
-    index = index.join(best.select("k", F.col("h.doc").alias("hub"), F.col("h.s1").alias("h1"), F.col("h.s2").alias("h2")), "k")
-    texts = docs.selectExpr(f"`{key}` AS doc", f"cast(`{text}` AS string) AS text")
-    wanted = cut(index.select("doc").distinct())
-    texts = table(texts.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "minhash-texts")
-
-    stars = index.where("doc <> hub").where(_near("s", "h")).select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    stars = cut(stars)
+    # a row's text is found again by its key and the text's hash
+    plain = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    sig = table(signatures(plain.select("doc", "th", "text"), shingle=shingle), "minhash")
+    kinds = ["fp1", "fp2", "n_shingles"]
+    classes = sig.where("n_shingles > 0 AND doc IS NOT NULL").groupBy(*kinds).agg(F.min(F.struct("doc", "th")).alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    # numbers follow the smallest keys, so the smallest number that links reach is that of the smallest key
+    classes = table(classes.orderBy("rep", *kinds).select(F.monotonically_increasing_id().alias("c"), "rep", *kinds, "copies", "keys"), "minhash-classes")
+
+    if (classes.agg(F.max("c")).first()[0] or 0) > LAST:
+        raise ValueError("too many partitions: the number of a class must fit 55 bits")
+
+    # w: the bits of the number of copies above the number of the class, counted downwards, so that the greatest w of a key is its hub
+    w = F.shiftleft(F.length(F.bin("copies")).cast("long"), LAST.bit_length()).bitwiseOR(F.lit(LAST) - F.col("c"))
+    number = lambda c: F.lit(LAST) - F.col(c).bitwiseAND(LAST)
+    index = classes.select(w.alias("w"), F.col("n_shingles").alias("n"), F.explode("keys").alias("k"))
+    hubs = index.groupBy("k").agg(F.count("*").alias("members"), F.max("w").alias("h")).where("members > 1").select("k", number("h").alias("hub"))
+    index = cut(index.join(hubs, "k").select("k", number("w").alias("c"), "n", "hub"))
+    wanted = cut(index.select("c").distinct().join(classes.select("c", "rep.*"), "c"))
+    texts = table(plain.join(wanted, ["doc", "th"]).select(F.col("c").alias("doc"), "text").dropDuplicates(["doc"]), "minhash-texts")
+
+    stars = index.where("c <> hub").select("c", "n", "hub").distinct().join(classes.select(F.col("c").alias("hub"), F.col("n_shingles").alias("hn")), "hub")
+    stars = cut(stars.where(_sized("n", "hn", percent)).select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct())
     links = cut(confirm(stars, texts, shingle, percent))
-    comp = components(links)
+    comp = cut(components(links))
 
     # under each key, members that are not in its hub's component against all members of other components
-    placed = index.join(comp, index["doc"] == comp["node"], "left").withColumn("c", F.coalesce("component", "doc")).select("k", "doc", "s1", "s2", "c", "hub")
-    apart = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("c", (F.col("doc") == F.col("hub")).cast("int")).alias("hc")).where("lo <> hi").select("k", "hc")
+    placed = index.join(comp, index["c"] == comp["node"], "left").withColumn("g", F.coalesce("component", "c")).select("k", "c", "n", "g", "hub")
+    apart = placed.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max(F.when(F.col("c") == F.col("hub"), F.col("g"))).alias("hg")).where("lo <> hi").select("k", "hg")
     rest = cut(placed.join(apart, "k"))
-    x = rest.where("c <> hc").select("k", F.col("doc").alias("x"), F.col("c").alias("cx"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-    y = rest.select("k", F.col("doc").alias("y"), F.col("c").alias("cy"), F.col("hc").alias("hc"), F.col("s1").alias("y1"), F.col("s2").alias("y2"))
-    more = x.join(y, "k").where("cx <> cy AND (x < y OR cy = hc)").where(_near("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x = rest.where("g <> hg").select("k", F.col("c").alias("x"), F.col("g").alias("gx"), F.col("n").alias("nx"))
+    y = rest.select("k", F.col("c").alias("y"), F.col("g").alias("gy"), "hg", F.col("n").alias("ny"))
+    more = x.join(y, "k").where("gx <> gy AND (x < y OR gy = hg)").where(_sized("nx", "ny", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = more.join(stars, ["a", "b"], "left_anti")
     comp = components(links.union(confirm(more, texts, shingle, percent)))
-    remove(texts)
 
-    whole = member.select("doc", "rep").distinct().join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("doc", "n_shingles").join(whole, "doc", "left")
+    far = comp.where("node <> component").join(classes.select(F.col("c").alias("component"), F.col("rep.doc").alias("first")), "component").select(F.col("node").alias("c"), "first")
+    whole = classes.select("c", *kinds, F.col("rep.doc").alias("own")).join(far, "c", "left").select(*kinds, F.coalesce("first", "own").alias("component_id"))
+    whole = whole.select("n_shingles", F.col("fp1").alias("_1"), F.col("fp2").alias("_2"), "component_id")
+    known = F.col("doc").isNotNull()
+    out = sig.select("doc", "n_shingles", F.when(known, F.col("fp1")).alias("_1"), F.when(known, F.col("fp2")).alias("_2")).join(whole, ["n_shingles", "_1", "_2"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc"))
-    return out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = cut(out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept")))
+    for scratch in (texts, sig, classes):
+        remove(scratch)
+    return out
+
+
+def _sized(a: str, b: str, percent: int) -> Column:
+    """Sets of these sizes can be similar: the smaller is at least that share of the larger."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent

@@ -74,6 +74,12 @@ def test_minhash_odd_tables(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in got) == [(-1, -1, False), (1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True), (3, 2, False)]
 
 
+def test_minhash_rows_that_repeat_a_key(spark):
+    rows = [("0", "x y z u v w"), ("1", "y only other words here now"), ("1", "x y z u v w"), ("2", ""), ("2", "y only other words here now")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "name string, body string"), key="name", text="body", shingle=2).collect()
+    assert sorted((r["name"], r["component_id"], r["kept"]) for r in got) == [("0", "0", True), ("1", "0", False), ("1", "1", True), ("2", "1", False), ("2", "2", True)]
+
+
 def test_star_with_a_poor_hub_still_joins(spark):
     """Variants that are near the base but not near each other."""
     base = [f"b{k}" for k in range(200)]
@@ -88,14 +94,13 @@ def test_star_with_a_poor_hub_still_joins(spark):
 
 
 def test_signature_join_loses_no_pair_in_its_bound():
-    r = random.Random(1)
-    keys = minhash._variants()
+    r = np.random.default_rng(1)
+    places = minhash.CHUNKS * minhash.WIDTH
     for _ in range(300):
-        a = [r.randrange(1 << 30) for _ in range(minhash.CHUNKS * minhash.WIDTH)]
-        b = a[:]
-        for i in r.sample(range(len(a)), minhash.CHUNKS * (minhash.ERRORS + 1) - 1):
-            b[i] += 1
-        assert any(all(a[c * minhash.WIDTH + w] == b[c * minhash.WIDTH + w] for w in keep) for c, keep in keys)
+        pair = np.repeat(r.integers(0, 1 << minhash.BITS, (places, 1), dtype=np.uint64), 2, axis=1)
+        pair[r.choice(places, minhash.BOUND, replace=False), 1] ^= np.uint64(1)
+        a, b = minhash._keys(pair)
+        assert set(a.tolist()) & set(b.tolist())
 
 
 def test_components(spark):
@@ -110,7 +115,7 @@ def _brute_lines(rows):
     for i, text in sorted(rows):
         for k, line in enumerate((text or "").split("\n")):
             s = set(_words(line))
-            if len(s) >= 5:
+            if s:
                 if any(100 * len(s & z) >= 80 * len(s | z) for z in seen):
                     gone[i].add(k)
                 seen.append(s)
@@ -134,7 +139,26 @@ def test_lines_odd_tables(spark):
     same = "one two three four five six"
     df = spark.createDataFrame([(None, same, "c", "d"), (7, same, "c", "d"), (7, same, "c", "d"), (8, same, "c", "d")], empty.schema)
     got = sorted((r["doc_id"] or -1, r["text"], r["line"], r["n_removed"]) for r in lines.dedup_lines(df).collect())
-    assert got == [(-1, same, "c", 0), (7, same, "c", 0), (7, same, "c", 0), (8, "", "c", 1)]
+    assert got == [(-1, same, "c", 0), (7, "", "c", 1), (7, same, "c", 0), (8, "", "c", 1)]
+
+
+def test_lines_of_rows_that_repeat_a_key(spark):
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (2, "quite other words stand on this line"), (2, "q")]
+    df = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, _key string, _gone string, row string")
+    out = lines.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_key", "_gone", "row", "n_lines", "n_removed"]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in out.collect())
+    assert got == [(1, rows[0][1], 0), (2, "", 1), (2, "q", 0), (2, rows[2][1], 0)]
+    named = df.select(F.concat(F.lit("k"), "doc_id").alias("name"), F.col("text").alias("body"))
+    for parts in (1, 5):
+        again = sorted(map(tuple, lines.dedup_lines(named.repartition(parts), key="name", text="body").collect()))
+        assert again == [("k1", rows[0][1], 1, 0), ("k2", "", 1, 1), ("k2", "q", 1, 0), ("k2", rows[2][1], 1, 0)]
+
+
+def test_floor_of_words_leaves_equal_sets(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "d c b a"), (3, "a b c d e"), (4, "e a b c d f")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(df, min_words=5).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}
 
 
 def _vector_rows(seed, n=600, dim=16):
