@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitspark.llm._io import table
+from pitspark.llm._rows import occurrences
+
 CAPACITY, MAX_PER_SOURCE, GROUP_PIECES = 4096, 8, 16_384
 
 
@@ -77,21 +80,25 @@ def pack(
     the text unless ``length`` names a column. Duplicate clusters are those of the column
     ``cluster``, else of equal texts (case and white space aside); pieces of one document always are one cluster.
 
-    Pieces scatter by a hash of their content and key over groups of about ``group_pieces``, each packed
-    in one task's memory; at most the last bins of a group stay ill filled. A document without words is a
-    piece of length 0. Rows with a null key, equal rows and repeated keys are packed like others; a null source
-    conflicts with nothing; an empty table gives none. Other columns are left out."""
+    Pieces scatter by a hash of their content, key and (of equal rows) number over groups of about ``group_pieces``, each packed
+    in one task's memory; at most the last bins of a group stay ill filled. The same rows give the same bins, however
+    files and partitions hold them. A document without words is a piece of length 0. Rows with a null key, equal
+    rows and repeated keys are packed like others; a null source conflicts with nothing; an empty table
+    gives none. Other columns are left out. Lengths and clusters are computed once, into a table without texts."""
     kind = docs.schema[key].dataType.simpleString()
     words = F.col(f"`{length}`").cast("long") if length else n_words(F.col(f"`{text}`"))
     told = F.col(f"`{cluster}`").cast("string") if cluster else F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
     rows = docs.select(
         F.col(f"`{key}`").alias("key"), F.greatest(F.coalesce(words, F.lit(0)), F.lit(0)).alias("words"), (F.col(f"`{source}`").cast("string") if source else F.lit(None).cast("string")).alias("source"), told.alias("cluster")
     )
+    rows = table(rows.select("*", F.monotonically_increasing_id().alias("place"), F.xxhash64("key", "words", "source", "cluster").alias("h")), "packing")
     last = F.greatest(F.floor((F.col("words") - 1) / capacity), F.lit(0)).cast("int")
-    pieces = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    pieces = pieces.select("key", "piece", "source", "cluster", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("piece").cast("long") * capacity).alias("length"))
-    groups = max(1, -(-pieces.count() // group_pieces))
-    by = F.pmod(F.xxhash64("key", "piece", "cluster", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    groups = max(1, -(-(rows.agg(F.sum(last.cast("long") + 1)).first()[0] or 0) // group_pieces))
+    copies = occurrences(rows.select("place", "h")).where("copy > 1").select("place", "copy")
+    pieces = rows.join(copies, "place", "left").select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    by = F.pmod(F.xxhash64("h", "piece", F.coalesce("copy", F.lit(1))), F.lit(groups)).cast("int")
+    start = F.col("piece").cast("long") * capacity
+    pieces = pieces.select("key", "piece", "source", "cluster", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("words") - start).alias("length"), by.alias("group"))
     schema = f"`{key}` {kind}, piece int, start long, length long, bin string, place int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,4 +131,4 @@ def pack(
             yield flush(now, parts)
 
     order = ("group", "length", "key", "piece", "source", "cluster")
-    return pieces.withColumn("group", by).repartition("group").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return pieces.repartition("group").sortWithinPartitions(*order).mapInArrow(run, schema)

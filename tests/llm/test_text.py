@@ -207,6 +207,40 @@ def test_best_fit_rules():
     assert packing.best_fit([(60, None, None), (50, None, None), (40, None, None)], 100, 9) == [0, 1, 0]
 
 
+def _brute_fit(pieces, capacity, most):
+    """Every bin is looked at for every piece, longest first; ties go to the older bin."""
+    bins, out = [], [None] * len(pieces)
+    for i in sorted(range(len(pieces)), key=lambda i: -pieces[i][0]):
+        length, source, cluster = pieces[i]
+        fits = [
+            (room, b) for b, (room, held) in enumerate(bins)
+            if room >= length and room > 0 and not (cluster is not None and any(c == cluster for _, c in held)) and not (source is not None and sum(s == source for s, _ in held) >= most)
+        ]
+        if fits:
+            b = min(fits)[1]
+        else:
+            b = len(bins)
+            bins.append((capacity, []))
+        bins[b] = bins[b][0] - length, [*bins[b][1], (source, cluster)]
+        out[i] = b
+    return out
+
+
+def test_best_fit_equals_brute_force():
+    r = random.Random(12)
+    for trial in range(60):
+        capacity, most = r.choice([10, 100]), r.choice([1, 2, 5])
+        pieces = [(r.randrange(0, capacity + 1), r.choice([None, "a", "b", "c"]), r.choice([None, *"vwxyz"])) for _ in range(r.randrange(80))]
+        assert packing.best_fit(pieces, capacity, most) == _brute_fit(pieces, capacity, most), trial
+
+
+def test_packing_follows_from_the_rows(spark):
+    rows = [(k % 40, "w " * (k * 37 % 90), f"s{k % 3}") for k in range(160)] + [(7, "same text", "s1")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(map(tuple, packing.pack(df.repartition(p) if p > 1 else df.coalesce(1), capacity=128, group_pieces=30).collect())) for p in (1, 7))
+    assert a == b and len(a) >= len(rows)
+
+
 def test_packing_keeps_every_word(spark):
     rows = [(k, "w " * (k * 37 % 300), f"s{k % 3}" if k % 7 else None) for k in range(90)] + [(900, None, None), (901, "", "s1"), (902, "z " * 1000, "s1"), (None, "a b", "s1"), (5, "a b", "s2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("piece", F.lit(1)).withColumn("bin", F.lit("x"))
@@ -222,9 +256,9 @@ def test_packing_keeps_every_word(spark):
 def test_shards_are_a_balanced_permutation(spark, tmp_path):
     rows = [(k % 50, None if k % 9 == 0 else "text " * (k % 13), "x") for k in range(403)]
     df = spark.createDataFrame(rows, "doc_id long, text string, slot string")
-    out = shards.shuffle_into_shards(df, shards=7, bucket_bytes=900)
+    out = shards.shuffle_into_shards(df, shards=7, bucket_rows=40)
     got = out.collect()
-    again = shards.shuffle_into_shards(df, shards=7, bucket_bytes=900).collect()
+    again = shards.shuffle_into_shards(df, shards=7, bucket_rows=40).collect()
     key = lambda x: (x["shard"], x["slot"])
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
     n = collections.Counter(x["shard"] for x in got)
@@ -235,5 +269,10 @@ def test_shards_are_a_balanced_permutation(spark, tmp_path):
     shards.write_shards(out, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 403
     assert shards.shuffle_into_shards(df.limit(0)).count() == 0
+    # the same rows give the same places, however they lie, and copies scatter
+    copies = df.unionByName(df.where("doc_id < 3")).unionByName(df.where("doc_id < 3")).unionByName(spark.range(300).selectExpr("99L AS doc_id", "'same' AS text", "'x' AS slot"))
+    places = [sorted(map(tuple, shards.shuffle_into_shards(copies.repartition(p) if p > 1 else copies.coalesce(1), shards=7, bucket_rows=50).collect()), key=str) for p in (1, 7)]
+    assert places[0] == places[1] and len(places[0]) == copies.count()
+    assert {x[3] for x in places[0] if x[0] == 99} == set(range(7))
     few = shards.shuffle_into_shards(df.limit(3), shards=40).collect()
     assert len(few) == 3 and all(x["slot"] == 0 for x in few)
