@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """For a side of a join that grows with the corpus: it is never broadcast, so the plan is the same at every size."""
+    return df.hint("merge")
+
+
 _WRITTEN: list[str] = []
 
 

@@ -186,6 +186,25 @@ def test_vectors_recall_and_precision(spark):
     assert (found <= link.sum(1)).all() and found.sum() >= 0.9 * link.sum()
 
 
+def test_vectors_of_several_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.1]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.0]), (6, [2.0, 4.0, 6.1]), (7, [9.0]), (8, [4.0, 1.0, 1.0, 1.0])]
+    rows += [(100 + k, list(v)) for k, v in enumerate(np.random.default_rng(2).normal(size=(60, 5)).tolist())]
+    for kind in ("float", "double"):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()}
+        assert [got[k] for k in range(1, 9)] == [(1, 1), (0, 2), (1, 1), (2, 4), (2, 4), (2, 4), (0, 7), (0, 8)]
+        x = np.array([v for k, v in rows if k >= 100])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert sum(got[k][0] for k, _ in rows if k >= 100) == (x @ x.T >= 0.9).sum() - 60
+
+
+def test_split_lists_find_the_same_links(spark, monkeypatch):
+    df = spark.createDataFrame(_vector_rows(4, 300), "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, vectors.near_duplicates(df).collect()))
+    monkeypatch.setattr(vectors, "SPLIT", 3)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == whole
+
+
 def test_vectors_copies_and_long_lists(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 8)
     rows = [(k, [1.0, k % 30 / 1000, 0.0]) for k in range(90)] + [(100 + k, [0.0, 0.0, float(k + 1)]) for k in range(5)]
