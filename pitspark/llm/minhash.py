@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm._graph import components
-from pitspark.llm._io import cut, remove, table
+from pitspark.llm._io import cut, grows, remove, table
 from pitspark.llm._text import _K1, _K2, list_array, mix, shingles, slices
 
 #: At a similarity of 0.8 a chunk of 6 has at most one difference with probability 0.655, so that one
@@ -108,7 +108,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    full = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    full = pairs.join(grows(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))), "a").join(grows(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -142,11 +142,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # w: the bits of the number of copies above the number of the class, counted downwards, so that the greatest w of a key is its hub
     w = F.shiftleft(F.length(F.bin("copies")).cast("long"), LAST.bit_length()).bitwiseOR(F.lit(LAST) - F.col("c"))
     number = lambda c: F.lit(LAST) - F.col(c).bitwiseAND(LAST)
-    index = classes.select(w.alias("w"), F.col("n_shingles").alias("n"), F.explode("keys").alias("k"))
+    # one exchange serves the grouping and the join; a group's keys lie in as many partitions as there are keys
+    index = classes.select(w.alias("w"), F.col("n_shingles").alias("n"), F.explode("keys").alias("k")).repartition("k")
     hubs = index.groupBy("k").agg(F.count("*").alias("members"), F.max("w").alias("h")).where("members > 1").select("k", number("h").alias("hub"))
-    index = cut(index.join(hubs, "k").select("k", number("w").alias("c"), "n", "hub"))
+    index = cut(index.join(grows(hubs), "k").select("k", number("w").alias("c"), "n", "hub"))
     wanted = cut(index.select("c").distinct().join(classes.select("c", "rep.*"), "c"))
-    texts = table(plain.join(wanted, ["doc", "th"]).select(F.col("c").alias("doc"), "text").dropDuplicates(["doc"]), "minhash-texts")
+    texts = table(plain.join(grows(wanted), ["doc", "th"]).select(F.col("c").alias("doc"), "text").dropDuplicates(["doc"]), "minhash-texts")
 
     stars = index.where("c <> hub").select("c", "n", "hub").distinct().join(classes.select(F.col("c").alias("hub"), F.col("n_shingles").alias("hn")), "hub")
     stars = cut(stars.where(_sized("n", "hn", percent)).select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct())
@@ -167,7 +168,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     whole = classes.select("c", *kinds, F.col("rep.doc").alias("own")).join(far, "c", "left").select(*kinds, F.coalesce("first", "own").alias("component_id"))
     whole = whole.select("n_shingles", F.col("fp1").alias("_1"), F.col("fp2").alias("_2"), "component_id")
     known = F.col("doc").isNotNull()
-    out = sig.select("doc", "n_shingles", F.when(known, F.col("fp1")).alias("_1"), F.when(known, F.col("fp2")).alias("_2")).join(whole, ["n_shingles", "_1", "_2"], "left")
+    out = sig.select("doc", "n_shingles", F.when(known, F.col("fp1")).alias("_1"), F.when(known, F.col("fp2")).alias("_2")).join(grows(whole), ["n_shingles", "_1", "_2"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc"))
     out = cut(out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept")))
     for scratch in (texts, sig, classes):
