@@ -47,16 +47,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 def remove(written: DataFrame) -> None:
     """Deletes what ``table`` wrote. Everything that comes from it must have been cut before."""
-    _delete(written.sparkSession, written.scratch_path)
+    delete(written.sparkSession, written.scratch_path)
     _WRITTEN.remove(written.scratch_path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes all that ``table`` and ``cut`` wrote in this process. Results that were not written elsewhere end with it."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+def mark() -> int:
+    """For ``sweep``: what is written from now on."""
+    return len(_WRITTEN)
 
 
-def _delete(spark: SparkSession, at: str) -> None:
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what ``table`` and ``cut`` wrote in this process since a ``mark``. Results that rest on it must be written elsewhere before."""
+    while len(_WRITTEN) > since:
+        delete(spark, _WRITTEN.pop())
+
+
+def delete(spark: SparkSession, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

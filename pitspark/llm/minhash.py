@@ -114,7 +114,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: its key, ``n_shingles``, ``component_id`` (smallest key that links
-    reach) and ``kept`` (key = component_id). Two documents link where their sets of distinct
+    reach), ``kept`` (key = component_id) and ``text_hash`` (``xxhash64``, which tells rows of one key apart). Two documents link where their sets of distinct
     ``shingle``-word shingles (A-Z folded; with fewer words, the whole sequence) have a Jaccard
     similarity of ``percent`` or more.
 
@@ -168,9 +168,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     whole = classes.select("c", *kinds, F.col("rep.doc").alias("own")).join(far, "c", "left").select(*kinds, F.coalesce("first", "own").alias("component_id"))
     whole = whole.select("n_shingles", F.col("fp1").alias("_1"), F.col("fp2").alias("_2"), "component_id")
     known = F.col("doc").isNotNull()
-    out = sig.select("doc", "n_shingles", F.when(known, F.col("fp1")).alias("_1"), F.when(known, F.col("fp2")).alias("_2")).join(grows(whole), ["n_shingles", "_1", "_2"], "left")
+    out = sig.select("doc", "th", "n_shingles", F.when(known, F.col("fp1")).alias("_1"), F.when(known, F.col("fp2")).alias("_2")).join(grows(whole), ["n_shingles", "_1", "_2"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc"))
-    out = cut(out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept")))
+    out = cut(out.select(F.col("doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept"), F.col("th").alias("text_hash")))
     for scratch in (texts, sig, classes):
         remove(scratch)
     return out

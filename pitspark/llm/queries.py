@@ -72,7 +72,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80).drop("text_hash")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "patheti
 SEED_WEIGHT = 4.0
 #: Labelled rows that the lexicon is fitted on at most, chosen by a hash of the key.
 FIT_ROWS = 20_000
-#: Terms that are considered at most (those of the most evidence) and lengths of word beginnings.
-CANDIDATES, SHORTEST, LONGEST = 20_000, 4, 10
+#: Lengths of word beginnings.
+SHORTEST, LONGEST = 4, 10
 #: A term needs this many toxic texts, this log odds, and this log likelihood ratio (chance: about 2e-5).
 MIN_TEXTS, MIN_ODDS, MIN_EVIDENCE = 3, 3.0, 18.0
 #: Texts are often copies. A term counts by the distinct pairs of words around it in toxic texts, of which
@@ -177,7 +177,9 @@ def cut_point(values: Sequence[tuple[float, int]]) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Lexicon:
     """A lexicon from at most ``rows`` rows of ``labels`` (key and label; those of the smallest key hashes) and their
-    texts. Null labels are left out; without toxic or clean texts the seed terms are the lexicon."""
+    texts; ``rows`` also bounds the terms and phrases that reach the driver, of which none is left out. Null labels and keys
+    are left out, a text of several labels counts for each, equal texts of one label count once, and other columns may
+    have any name; without toxic or clean texts, or of empty tables, the seed terms are the lexicon."""
     # the sample is bounded, so it can be broadcast
     sample = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), (F.col(f"`{label}`") > 0).cast("int").alias("y"))
     sample = sample.orderBy(F.xxhash64("key"), "key", "y").limit(rows)
@@ -199,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     counts = cut(counts)
     totals = counts.where("term = ''").first()
     toxic, clean = (totals["t"], totals["c"]) if totals else (0, 0)
-    listed = {r["term"]: (r["t"], r["c"]) for r in counts.where("term <> ''").orderBy(F.expr("t - c").desc(), "term").limit(CANDIDATES).collect()}
+    listed = {r["term"]: (r["t"], r["c"]) for r in counts.where("term <> ''").collect()}
     good = {k for k, (t, c) in listed.items() if toxic and clean and _strong(t, c, toxic, clean)}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     seen = cut(picked.mapInArrow(around, "phrase string, y int, d double"))
     spared = seen.where("phrase <> ''").groupBy("phrase").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where(f"t = 0 AND c >= {MIN_TEXTS}")
-    exceptions = tuple(r["phrase"] for r in spared.orderBy(F.desc("c"), "phrase").limit(CANDIDATES).collect())
+    exceptions = tuple(r["phrase"] for r in spared.orderBy("phrase").collect())
     densities = [(r["d"], r["y"]) for r in seen.where("phrase = ''").collect()]
     return Lexicon(weights, exceptions, cut_point(densities))
 

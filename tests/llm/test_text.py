@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitspark.llm import _text, bpe, chat, lm, packing, quality, shards, toxicity
+from pitspark.llm import _text, bpe, chat, lm, packing, quality, queries, shards, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", None, " \t\n\x0b\x0c\r", "one", "a b", "x" * 5000, "la " * 4000, "é ü  z", "A\n\nA\n A\nb c d b c d b c", "tab\tsep\x1cfs"]
@@ -94,6 +95,35 @@ def test_toxicity_learns_stems_and_ignores_copies(spark):
     assert toxicity.fit(d, y.limit(0)).weights.keys() == {toxicity.fold(w).rstrip() for w in toxicity.SEED_TERMS}
 
 
+def _slow_density(text, lexicon):
+    """Every term tried at every place of the folded text."""
+    folded = toxicity.fold(text or "")
+    inside = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+    hits = [(i, i + len(t), w) for t, w in lexicon.weights.items() for i in range(len(folded)) if folded.startswith(t, i)]
+    return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y in inside)) / max(toxicity.LENGTH_FLOOR, len(folded.split()))
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    r = random.Random(3)
+    lexicon = toxicity.Lexicon({" idio": 3.0, " trash": 4.0, " zap ": 2.5, " sc": 1.25}, (toxicity.fold("trash can"), toxicity.fold("the idiom")), 0.1)
+    bits = ["idiot", "1di0t", "ID\u200bIOT", "trash", "tr@sh", "can", "the", "idiom", "zap", "zapped", "scum", "$cum", "\u0455cum", "word", "\n", "\u00fc"]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randrange(60))) for _ in range(200)] + ODD + ["idiot " * 30_000, "z" * 200_000 + " idiot"]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, key string")
+    got = {x["doc_id"]: x for x in toxicity.score(df, lexicon).collect()}
+    for k, t in enumerate(texts):
+        d = _slow_density(t, lexicon) if len(t or "") < 10_000 else toxicity.density(toxicity.fold(t), lexicon.automaton())
+        assert got[k]["score"] == pytest.approx(d / (d + 0.1), abs=1e-12) and got[k]["predicted"] == (got[k]["score"] >= 0.5)
+    assert got[len(texts) - 2]["predicted"] == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_toxicity_on_held_out_rows(spark):
+    """Rows that took no part in the fit: precision and recall of what is predicted."""
+    got = queries.op2_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("toxic IS NOT NULL").collect()
+    n = collections.Counter((x["predicted"], x["toxic"]) for x in got)
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[0, 1]) > 0 and n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]), n
+
+
 def _tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -48,7 +48,7 @@ def test_short_lines_are_lines_too(spark, tmp_path):
 
 def test_near_copies_choose_rows(spark, tmp_path):
     text = "one two three four five six seven"
-    rows = [(None, "no key at all in this row", "en", "x", 25), (None, text, "en", "x", 33), (1, text, "en", "x", 33), (1, text, "en", "w", 33), (2, text, "en", "x", 33), (3, None, "en", "x", None), (3, None, "en", "x", None), (4, "quite another text", None, "x", 18)]
+    rows = [(None, "no key at all in this row", "en", "x", 25), (None, text, "en", "x", 33), (1, text, "en", "x", 33), (1, text, "en", "w", 33), (2, text, "en", "x", 33), (3, None, "en", "x", None), (3, None, "en", "x", None), (4, "quite another text", None, "x", 18), (4, text, "en", "x", 33)]
     out = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS), str(tmp_path))
     assert out.columns == list(corpus_pipeline.COLUMNS)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[1], rows[3], rows[5], rows[7]], key=repr)
