@@ -33,16 +33,26 @@ def ulid_column(timestamp_ms: Column, key: Column) -> Column:
     return F.concat(_base32(checked, 10), *chunks)
 
 
+def strip(value: Column) -> Column:
+    """Without white space of any sort at both ends."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
+def fold_kind(kind: Column) -> Column:
+    """Kinds are compared without case and outer white space."""
+    return F.lower(strip(kind))
+
+
 def normalize(kind: Column, value: Column) -> Column:
     """An entity key in the form in which mappings are compared, by its kind."""
-    v = F.trim(value)
+    v, kind = strip(value), fold_kind(kind)
     digits = F.regexp_replace(v, "^0+", "")
     cik = F.when(digits == "", v).when(F.length(digits) >= 10, digits).otherwise(F.lpad(digits, 10, "0"))
     return (
         F.when(kind == "cashtag", F.upper(F.regexp_replace(v, r"^\$+", "")))
         .when(kind == "ticker", F.upper(v))
         .when(kind == "cik", cik)
-        .when(kind.isin("company_name", "search_term"), F.lower(F.regexp_replace(v, r"\s+", " ")))
+        .when(kind.isin("company_name", "search_term"), F.lower(F.regexp_replace(v, r"(?U)\s+", " ")))
         .otherwise(v)
     )
 

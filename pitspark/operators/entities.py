@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitspark.functions.scalar import date_of_ns, normalize, ns_of_date
+from pitspark.functions.scalar import date_of_ns, fold_kind, normalize, ns_of_date
 
 
 def in_force(day: Column) -> Column:
@@ -13,22 +13,27 @@ def in_force(day: Column) -> Column:
     return (F.coalesce("known_from", "valid_from") <= day) & (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to")))
 
 
-def resolve(rows: DataFrame, mapping: DataFrame, *, kind: str | Column = "ticker", day: Column | None = None, floor: float = 0.0, key: str = "observation_id", native: str = "native_entity") -> DataFrame:
+def resolve(rows: DataFrame, mapping: DataFrame, *, kind: str | Column = "ticker", day: Column | None = None, floor: float = 0.0, native: str = "native_entity") -> DataFrame:
     """``rows`` with ``security_id`` (best candidate of the day of knowledge; null below ``floor``), ``confidence`` and
-    ``n_candidates``. Best: highest confidence, then smallest security. ``key`` tells rows apart.
+    ``n_candidates`` (mapping rows in force). Best: highest confidence, then smallest security. A row that has a security keeps it and
+    is not asked: its confidence is null and it has no candidates.
 
-    An equi join on kind and normalised key with the interval as residual; Spark broadcasts the mapping if
-    its size allows, else both sides shuffle on the key."""
+    What is asked depends on kind, normalised key and day alone, so each such question is answered once: the distinct
+    questions meet the mapping in an equi join with the interval as residual, partial aggregates pick the best, and the rows
+    take their answers by one equi join. Nothing is broadcast by force; AQE decides by size."""
     day = day if day is not None else date_of_ns(F.col("knowledge_time_ns"))
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    asked = rows.drop("security_id").withColumns({"_kind": kind, "_value": normalize(kind, F.col(native)), "_day": day})
-    known = mapping.select(F.col("kind").alias("_kind"), normalize(F.col("kind"), F.col("value")).alias("_value"), F.col("security_id").alias("_sid"), "valid_from", "valid_to", "known_from", F.coalesce("confidence", F.lit(1.0)).alias("_conf"))
-    hits = asked.join(known, ["_kind", "_value"]).where(in_force(F.col("_day")))
-    # min of (-confidence, security) is the best candidate, with partial aggregation
-    best = hits.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct((-F.col("_conf")).alias("c"), F.col("_sid").alias("s"))).alias("_b"), F.countDistinct("_sid").alias("n_candidates"))
-    out = asked.drop("_kind", "_value", "_day").join(best, F.col(key) == F.col("_key"), "left").drop("_key")
+    kind = fold_kind(F.lit(kind) if isinstance(kind, str) else kind)
+    asked = rows if "security_id" in rows.columns else rows.withColumn("security_id", F.lit(None).cast("string"))
+    open_ = F.col("security_id").isNull()
+    asked = asked.withColumns({"_kind": F.when(open_, kind), "_value": F.when(open_, normalize(kind, F.col(native))), "_day": F.when(open_, day)})
+    known = mapping.select(fold_kind(F.col("kind")).alias("_kind"), normalize(F.col("kind"), F.col("value")).alias("_value"), F.col("security_id").alias("_sid"), "valid_from", "valid_to", "known_from", F.coalesce("confidence", F.lit(1.0)).alias("_conf"))
+    keys = ["_kind", "_value", "_day"]
+    hits = asked.where(open_).select(*keys).distinct().join(known, ["_kind", "_value"]).where(in_force(F.col("_day")))
+    # min of (-confidence, security) is the best candidate
+    best = hits.groupBy(*keys).agg(F.min(F.struct((-F.col("_conf")).alias("c"), F.col("_sid").alias("s"))).alias("_b"), F.count("*").alias("n_candidates"))
+    out = asked.drop("confidence", "n_candidates").join(best, keys, "left").drop(*keys)
     confidence = -F.col("_b.c")
-    return out.withColumns({"security_id": F.when(confidence >= floor, F.col("_b.s")), "confidence": confidence, "n_candidates": F.coalesce("n_candidates", F.lit(0).cast("long"))}).drop("_b")
+    return out.withColumns({"security_id": F.coalesce("security_id", F.when(confidence >= floor, F.col("_b.s"))), "confidence": confidence, "n_candidates": F.coalesce("n_candidates", F.lit(0).cast("long"))}).drop("_b")
 
 
 def check_mapping(mapping: DataFrame) -> Column:

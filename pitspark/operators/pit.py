@@ -43,28 +43,39 @@ def newest_vintage(rows: DataFrame, *also: str) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-#: Cuts up to this many rows are broadcast; more of them join by buckets of knowledge time.
-MAX_BROADCAST_CUTS, CUT_BUCKET_NS = 10_000, 30 * DAY_NS
+#: Cuts up to this many rows are broadcast, more of them are shuffled.
+MAX_BROADCAST_CUTS = 10_000
+#: Cuts and vintages meet in buckets of the knowledge axis, of 30 days or, over a long span of cuts, as many as make MAX_BUCKETS.
+CUT_BUCKET_NS, MAX_BUCKETS = 30 * DAY_NS, 512
 
 
 def pit_read_dates(rows: DataFrame, cuts: DataFrame, *, as_of: str = "as_of_ns", max_broadcast: int = MAX_BROADCAST_CUTS) -> DataFrame:
     """``pit_read`` at many cuts at once. Each vintage holds on the knowledge axis from its own time until the next
     vintage of its key; ``cuts`` (one row per date) meet the vintage that holds at their time. Each row joins only
-    the cuts of its interval, so the result has one row per key and cut, and vintages that no cut sees vanish."""
+    the cuts of its interval, so the result has one row per key and cut, and vintages that no cut sees vanish.
+
+    What becomes known after the last cut cannot matter and is left out at the scan. Vintages and cuts meet in an equi
+    join on buckets, an interval being listed in every bucket that it shares with the span of the cuts."""
+    n, first, last = cuts.agg(F.count("*"), F.min(as_of), F.max(as_of)).first()
+    if not n:
+        first = last = 0
+    width = max(CUT_BUCKET_NS, -(-(last - first) // MAX_BUCKETS))
     key = F.coalesce("security_id", "native_entity")
     w = Window.partitionBy("signal_type", key, "series_id", "event_time_ns").orderBy(*_NEWEST)
-    held = rows.withColumn("_until", F.lead("knowledge_time_ns").over(w))
-    # vintages of one knowledge time: only the last in order ever holds
-    held = held.where("_until IS NULL OR _until > knowledge_time_ns")
+    held = rows.where(knowable(last)).withColumn("_until", F.lead("knowledge_time_ns").over(w))
+    # vintages of one knowledge time: only the last in order ever holds; what ends before the first cut is never seen
+    held = held.where((F.col("_until").isNull() | (F.col("_until") > F.col("knowledge_time_ns"))) & (F.col("_until").isNull() | (F.col("_until") > first)))
+    bucket = lambda ns: ((ns - F.lit(first)) / F.lit(width)).cast("int")
+    spans = F.sequence(bucket(F.greatest("knowledge_time_ns", F.lit(first))), bucket(F.coalesce("_until", F.lit(last))))
+    marked = cuts.withColumn("_bucket", bucket(F.col(as_of)))
     holds = (F.col("knowledge_time_ns") <= F.col(as_of)) & (F.col("_until").isNull() | (F.col(as_of) < F.col("_until")))
-    if cuts.limit(max_broadcast + 1).count() <= max_broadcast:
-        return held.join(F.broadcast(cuts), holds).drop("_until")
-    # an equi join on buckets: an interval is listed in every bucket that it shares with the cuts
-    first, last = cuts.agg(F.min(as_of), F.max(as_of)).first()
-    bucket = lambda ns: F.floor(ns / F.lit(CUT_BUCKET_NS))
-    seen = held.where((F.col("knowledge_time_ns") <= last) & (F.col("_until").isNull() | (F.col("_until") > first)))
-    spans = F.sequence(bucket(F.greatest("knowledge_time_ns", F.lit(first))), bucket(F.least(F.coalesce("_until", F.lit(last)), F.lit(last))))
-    return seen.withColumn("_bucket", F.explode(spans)).join(cuts.withColumn("_bucket", bucket(F.col(as_of))), "_bucket").where(holds).drop("_until", "_bucket")
+    joined = held.withColumn("_bucket", F.explode(spans)).join(F.broadcast(marked) if n <= max_broadcast else marked, "_bucket")
+    return joined.where(holds).drop("_until", "_bucket")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """The order of a read: event, entity, series."""
+    return rows.orderBy("event_time_ns", F.coalesce("security_id", "native_entity"), "series_id")
 
 
 def latest_in_force(rows: DataFrame, value: Column, *by: str) -> DataFrame:

@@ -48,12 +48,21 @@ def _must(ok: Column, value: Column, message: str) -> Column:
 
 
 @register_op("pct_change")
-def pct_change(section: DataFrame, *, base: DataFrame, **_: Any) -> DataFrame:
-    """(x - base) / |base|; entities without a base go; a base of 0 fails the build."""
-    joined = section.join(base.select(DATE, ENTITY, F.col(VALUE).alias("_base")), [DATE, ENTITY])
+def pct_change(section: DataFrame, *, base: DataFrame | None = None, **_: Any) -> DataFrame:
+    """(x - base) / |base|; entities without a base go; a base of 0 fails the build. ``base`` is a section, or a column of
+    this one (see ``with_base``), which goes."""
+    joined = section.withColumnRenamed("base", "_base") if base is None else section.join(base.select(DATE, ENTITY, F.col(VALUE).alias("_base")), [DATE, ENTITY])
+    joined = joined.where("_base IS NOT NULL")
     return joined.withColumn(VALUE, _must(F.col("_base") != 0, (F.col(VALUE) - F.col("_base")) / F.abs("_base"), "pct_change: a base is 0")).drop("_base")
 
 
+def with_base(values: DataFrame) -> DataFrame:
+    """A section with the column ``base``, of values (date, entity, value) that ``back`` (false, true) marks as those of the
+    date or of its base: both come from one read."""
+    both = values.groupBy(DATE, ENTITY).agg(*(F.max(F.when(F.col("back") == back, F.col(VALUE))).alias(name) for name, back in ((VALUE, False), ("base", True))))
+    return both.where(F.col(VALUE).isNotNull())
+
+
 @register_op("winsorize")
 def winsorize(section: DataFrame, *, limits: tuple[float, float] = (0.01, 0.99), **_: Any) -> DataFrame:
     """Values clamped to the section's linearly interpolated quantiles."""

@@ -159,7 +159,10 @@ def _section(spark: SparkSession, sf_dir: str, back: int = 0) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.pct_change(_section(spark, sf_dir).drop("event_time_ns"), base=_section(spark, sf_dir, BASE_WINDOW))
+    rows = observations(spark, sf_dir).where("signal_type = 'evt.purchase' AND series_id = 'a'")
+    cuts = [pit.embargoed_cuts(_dates(spark), 1 + days).withColumn("back", F.lit(back)) for back, days in ((False, 0), (True, BASE_WINDOW))]
+    values = pit.latest_in_force(pit.pit_read_dates(rows, cuts[0].union(cuts[1])), F.col("value"), "rebalance_date", "back")
+    return transforms.pct_change(transforms.with_base(values))
 
 
 def _sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,17 +266,24 @@ _MAPPING_SQL = """mapping AS (SELECT CAST(c_custkey % 100 AS VARCHAR) AS value,
   DATE '2024-01-01' + CAST(c_custkey % 20 AS INTEGER) AS valid_from, DATE '2024-01-01' + CAST(c_custkey % 20 AS INTEGER) + 12 AS valid_to,
   CASE WHEN c_custkey % 3 = 0 THEN DATE '2024-01-01' + CAST(c_custkey % 20 AS INTEGER) + 2 END AS known_from, (c_custkey % 10) / 10 AS confidence FROM customer)"""
 _HITS_SQL = f"WITH {OBS}, {_MAPPING_SQL}, hits AS (SELECT observation_id, m.security_id AS sid, m.confidence FROM obs JOIN mapping m ON m.value = obs.native_entity AND coalesce(known_from, valid_from) <= CAST(ts AS DATE) AND valid_from <= CAST(ts AS DATE) AND CAST(ts AS DATE) < valid_to)"
-_BEST_SQL = "best AS (SELECT observation_id, max(confidence) AS confidence, arg_min(sid, (-confidence, sid)) AS sid, count(DISTINCT sid) AS n FROM hits GROUP BY observation_id)"
+_BEST_SQL = "best AS (SELECT observation_id, max(confidence) AS confidence, arg_min(sid, (-confidence, sid)) AS sid, count(*) AS n FROM hits GROUP BY observation_id)"
 
 
 @_query(f"{_HITS_SQL}, {_BEST_SQL} SELECT observation_id, CASE WHEN confidence >= 0.5 THEN sid END AS security_id, confidence, coalesce(n, 0) AS n_candidates FROM obs LEFT JOIN best USING (observation_id)")
 def resolve_entities(spark, sf_dir):
-    return entities.resolve(observations(spark, sf_dir), _mapping(spark, sf_dir), floor=0.5).select("observation_id", "security_id", "confidence", "n_candidates")
+    return entities.resolve(observations(spark, sf_dir).drop("security_id"), _mapping(spark, sf_dir), floor=0.5).select("observation_id", "security_id", "confidence", "n_candidates")
+
+
+@_query(f"{_HITS_SQL}, {_BEST_SQL} SELECT observation_id, coalesce(obs.security_id, sid) AS security_id, CASE WHEN obs.security_id IS NULL THEN confidence END AS confidence, CASE WHEN obs.security_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_candidates FROM obs LEFT JOIN best USING (observation_id)")
+def resolve_keeps_known(spark, sf_dir):
+    """Rows with a security are not asked; kinds differ in case and white space."""
+    mapping = _mapping(spark, sf_dir).withColumn("kind", F.when(F.col("value") > "5", "Ticker ").otherwise("\tticker"))
+    return entities.resolve(observations(spark, sf_dir), mapping, kind=" TICKER").select("observation_id", "security_id", "confidence", "n_candidates")
 
 
 @_query(f"{_HITS_SQL}, {_BEST_SQL} SELECT n > 1 AS ambiguous, count(*) AS n FROM best GROUP BY 1")
 def resolve_ambiguous(spark, sf_dir):
-    out = entities.resolve(observations(spark, sf_dir), _mapping(spark, sf_dir)).where("n_candidates > 0")
+    out = entities.resolve(observations(spark, sf_dir).drop("security_id"), _mapping(spark, sf_dir)).where("n_candidates > 0")
     return out.groupBy((F.col("n_candidates") > 1).alias("ambiguous")).agg(F.count("*").alias("n"))
 
 

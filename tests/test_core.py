@@ -131,6 +131,8 @@ def test_reused_ticker_resolves_by_day(spark):
     got = lambda floor: {r["observation_id"]: r["security_id"] for r in entities.resolve(rows, m, day=F.col("day"), floor=floor).collect()}
     assert got(0.0) == {"1": "OLD", "2": None, "3": "NEW"}
     assert got(0.5) == {"1": "OLD", "2": None, "3": None}
+    kept = entities.resolve(rows.withColumn("security_id", F.when(F.col("observation_id") == "2", "SEC-9")), m, kind=" Ticker", day=F.col("day"))
+    assert {r["observation_id"]: r["security_id"] for r in kept.collect()} == {"1": "OLD", "2": "SEC-9", "3": "NEW"}
 
 
 def test_universe_keeps_names_until_their_removal_is_known(spark):

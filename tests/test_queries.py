@@ -44,6 +44,27 @@ def test_query(spark, db, name):
     assert got == _sorted(answer.fetchall(), columns)
 
 
-def test_filters_reach_the_scan(spark):
-    plan = queries.pit_read(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "WindowGroupLimit" in plan
+def _plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_reach_the_scan_of_a_stored_table(spark, tmp_path):
+    """On a table with the stored columns, not on computed ones, the predicates themselves are pushed."""
+    from pitspark.operators import pit
+
+    at = str(tmp_path / "obs")
+    queries.observations(spark, SF).write.parquet(at)
+    stored = spark.read.parquet(at)
+    plan = _plan(pit.pit_read(stored, as_of_ns=queries.MID_NS, signal_type="evt.click", event_start_ns=5, series_id="a"))
+    for predicate in (f"LessThanOrEqual(knowledge_time_ns,{queries.MID_NS})", "EqualTo(signal_type,evt.click)", "GreaterThanOrEqual(event_time_ns,5)", "EqualTo(series_id,a)"):
+        assert predicate in plan
+    assert "WindowGroupLimit" in plan
+    cuts = pit.embargoed_cuts(queries._dates(spark), 1)
+    plan = _plan(pit.pit_read_dates(stored, cuts))
+    last = cuts.agg({"as_of_ns": "max"}).first()[0]
+    assert f"LessThanOrEqual(knowledge_time_ns,{last})" in plan and "NestedLoop" not in plan
+
+
+def test_pipeline_reads_events_once(spark):
+    assert _plan(queries.factor_pipeline(spark, SF)).count("FileScan") == 1
