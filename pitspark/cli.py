@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     settings = Settings.load(a.config)
     if a.command == "ingest":
         reports = ingest.ingest(spark, settings, mode="backfill" if a.backfill else "live", only=a.adapter)
-        print(ingest.format_report(reports))
+        print(ingest.format_report(reports, settings))
         return int(any(r.rejected for r in reports))
     if a.command == "store":
         print("\n".join(inspect.lines(SignalStore(spark, settings.store_path).audit())))

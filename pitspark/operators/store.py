@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import time
 import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitspark import schema
+from pitspark.functions.scalar import DAY_NS
 from pitspark.operators import pit
 from pitspark.operators.guard import ValidatedFrame
+from pitspark.sources.files import Files
 
 #: Two rows under one id are the same if these agree.
 CONTENT = ("payload", "event_time_ns", "knowledge_time_ns")
@@ -80,35 +82,46 @@ def content_hash(rows: DataFrame, *, as_of_ns: int) -> DataFrame:
     return by_bin.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("row_count"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("content_hash"))
 
 
+#: Rows of a snapshot's file at most, so that each is small enough to be hashed at once.
+FILE_ROWS = 1_000_000
+
+
+def file_hashes(spark: SparkSession, folder: str) -> dict[str, str]:
+    """sha256 of every Parquet file of a folder by its name; the files are read on the executors."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    return {r["name"]: r["sha"] for r in found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha")).collect()}
+
+
 class SignalStore:
-    """``path`` holds ``data/<batch>/signal_type=.../*.parquet`` and ``_commits/<n>.json``. A batch counts only once
-    its commit is there, which one rename does, so a failed write leaves nothing visible. One writer at a time."""
+    """``path``, on any file system that Spark reads, holds ``data/batch=.../signal_type=.../*.parquet`` and ``_commits/<n>.json``. A
+    batch counts only once its commit is there, which one rename does, so a failed write leaves nothing visible. One
+    writer at a time: of two, the later commit fails."""
 
     def __init__(self, spark: SparkSession, path: str | os.PathLike[str]):
-        self.spark, self.path = spark, Path(path)
-        (self.path / "_commits").mkdir(parents=True, exist_ok=True)
+        self.spark, self.path, self.files = spark, str(path).rstrip("/"), Files(spark)
+        self.files.mkdirs(f"{self.path}/_commits")
 
     def _commits(self) -> list[dict]:
-        return [json.loads(p.read_text()) for p in sorted((self.path / "_commits").glob("*.json"))]
+        at = f"{self.path}/_commits"
+        return [json.loads(self.files.read(f"{at}/{n}")) for n in self.files.names(at) if n.endswith(".json")]
 
     def _all(self) -> DataFrame:
-        batches = [str(self.path / "data" / c["batch"]) for c in self._commits()]
+        """One scan of all batches; filters on signal_type prune folders."""
+        batches = [f"{self.path}/data/batch={c['batch']}" for c in self._commits()]
         if not batches:
             return self.spark.createDataFrame([], schema.OBSERVATION)
-        parts = [schema.conform(self.spark.read.option("basePath", b).parquet(b)) for b in batches]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        stored = self.spark.read.schema(schema.OBSERVATION).option("basePath", f"{self.path}/data")
+        return schema.conform(stored.parquet(*batches))
 
     def write(self, validated: ValidatedFrame, *, run_id: str) -> WriteReceipt:
         """Appends rows that aren't stored. In order: repeated ids in the batch, stored ids, vintages. The same content
-        under a known id is skipped; another content, or a known vintage under a new id, is an error."""
+        under a known id is skipped; another content, or a known vintage under a new id, is an error.
+
+        Ids are looked up in the whole store, by id and content alone; vintages only among the signal types and events of the batch."""
         if not isinstance(validated, ValidatedFrame):
             raise TypeError("the store takes rows that the guard validated")
         batch = uuid.uuid4().hex
-        at = self.path / "data" / batch
-        staged_at = str(self.path / "_staging" / batch)
+        at, staged_at = f"{self.path}/data/batch={batch}", f"{self.path}/_staging/{batch}"
         # staged once, so that every check and the write see the same rows
         schema.conform(validated.rows.withColumn("run_id", F.lit(run_id))).write.parquet(staged_at)
         try:
@@ -124,30 +137,27 @@ class SignalStore:
             if bad := stored_already(once, stored).where("NOT same").first():
                 raise StoreError(f"{bad['observation_id']} is stored with another content; restatements are new vintages")
             fresh = unstored(once, stored)
-            if bad := conflicts(fresh, stored).first():
+            span = staged.agg(F.count("*").alias("n"), F.min("event_time_ns").alias("lo"), F.max("event_time_ns").alias("hi"), F.collect_set("signal_type").alias("kinds")).first()
+            near = stored.where(F.col("signal_type").isin(*span["kinds"]) & F.col("event_time_ns").between(span["lo"], span["hi"])) if span["n"] else stored
+            if bad := conflicts(fresh, near).first():
                 raise StoreError(f"the vintage {bad['vintage_id']!r} of {bad['native_entity']} is stored under another id")
-            n = staged.count()
-            fresh.repartition("signal_type").sortWithinPartitions("signal_type", "native_entity", "event_time_ns").write.partitionBy("signal_type").parquet(str(at))
-            written = self.spark.read.parquet(str(at)).count() if any(at.glob("signal_type=*")) else 0
+            fresh.repartition("signal_type", F.floor(F.col("event_time_ns") / F.lit(32 * DAY_NS))).sortWithinPartitions("signal_type", "native_entity", "event_time_ns").write.partitionBy("signal_type").parquet(at)
+            written = self.spark.read.schema(schema.OBSERVATION).parquet(at).count()
         finally:
-            _remove(Path(staged_at))
+            self.files.remove(staged_at)
         if written:
             self._publish({"batch": batch, "run_id": run_id, "rows": written})
         else:
-            _remove(at)
-        return WriteReceipt(written, n - written, run_id)
+            self.files.remove(at)
+        return WriteReceipt(written, span["n"] - written, run_id)
 
     def _publish(self, commit: dict) -> None:
-        n = len(list((self.path / "_commits").glob("*.json")))
-        temporary = self.path / "_commits" / f".{commit['batch']}"
-        temporary.write_text(json.dumps(commit | {"at": time.time()}, sort_keys=True))
-        target = self.path / "_commits" / f"{n:012d}.json"
-        # a link fails where a rename would replace another writer's commit
-        os.link(temporary, target)
-        temporary.unlink()
+        n = len(self._commits())
+        self.files.publish(f"{self.path}/_commits/{n:012d}.json", json.dumps(commit | {"at": time.time()}, sort_keys=True))
 
     def read(self, *, signal_type: str, as_of_ns: int, security_ids=None, event_start_ns=None, event_end_ns=None) -> DataFrame:
-        return pit.pit_read(self._all(), as_of_ns=as_of_ns, signal_type=signal_type, security_ids=security_ids, event_start_ns=event_start_ns, event_end_ns=event_end_ns)
+        """In the order of event, entity and series; an aggregate above drops the sort."""
+        return pit.in_order(pit.pit_read(self._all(), as_of_ns=as_of_ns, signal_type=signal_type, security_ids=security_ids, event_start_ns=event_start_ns, event_end_ns=event_end_ns))
 
     def vintages(self, *, as_of_ns: int) -> DataFrame:
         """All vintages knowable at the cut."""
@@ -158,16 +168,14 @@ class SignalStore:
         return self._all()
 
     def snapshot(self, *, as_of_ns: int, target_dir: str | os.PathLike[str]) -> SnapshotRef:
-        """All knowable vintages as sorted Parquet files, and a manifest."""
-        target = Path(target_dir)
+        """All knowable vintages as sorted Parquet files, and a manifest. Rows and files are hashed on the executors."""
+        target = str(target_dir).rstrip("/")
         rows = self.vintages(as_of_ns=as_of_ns)
-        rows.withColumn("entity", F.coalesce("security_id", "native_entity")).orderBy(*ORDER).drop("entity").write.parquet(str(target / "data"))
-        found = content_hash(self.spark.read.schema(schema.OBSERVATION).parquet(str(target / "data")), as_of_ns=as_of_ns).first()
-        files = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted((target / "data").glob("*.parquet"))}
-        manifest = {"content_hash": found["content_hash"], "as_of_ns": as_of_ns, "row_count": found["row_count"], "schema": schema.SCHEMA_VERSION, "files": files}
-        text = json.dumps(manifest, sort_keys=True, indent=1)
-        (target / "manifest.json").write_text(text)
-        return SnapshotRef(found["content_hash"], as_of_ns, str(target))
+        rows.withColumn("entity", F.coalesce("security_id", "native_entity")).orderBy(*ORDER).drop("entity").write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{target}/data")
+        found = content_hash(self.spark.read.schema(schema.OBSERVATION).parquet(f"{target}/data"), as_of_ns=as_of_ns).first()
+        manifest = {"content_hash": found["content_hash"], "as_of_ns": as_of_ns, "row_count": found["row_count"], "schema": schema.SCHEMA_VERSION, "files": file_hashes(self.spark, f"{target}/data")}
+        self.files.publish(f"{target}/manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
+        return SnapshotRef(found["content_hash"], as_of_ns, target)
 
     def close(self) -> None:
         """Nothing stays open."""
@@ -177,37 +185,35 @@ class SnapshotStore:
     """A snapshot, read only. The files are verified against the manifest, and its hash against the pin if one is given."""
 
     def __init__(self, spark: SparkSession, path: str | os.PathLike[str], *, expected_content_hash: str | None = None):
-        self.spark, self.path = spark, Path(path)
-        if not (self.path / "manifest.json").exists():
+        self.spark, self.path = spark, str(path).rstrip("/")
+        files = Files(spark)
+        if not files.exists(f"{self.path}/manifest.json"):
             raise StoreError(f"{path} holds no snapshot")
-        self.manifest = json.loads((self.path / "manifest.json").read_text())
+        self.manifest = json.loads(files.read(f"{self.path}/manifest.json"))
         self.content_hash, self.as_of_ns = self.manifest["content_hash"], self.manifest["as_of_ns"]
         if expected_content_hash is not None and expected_content_hash != self.content_hash:
             raise StoreError(f"the snapshot is {self.content_hash}, not {expected_content_hash}")
-        files = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted((self.path / "data").glob("*.parquet"))}
-        if files != self.manifest["files"]:
+        try:
+            found = file_hashes(spark, f"{self.path}/data")
+        except (Py4JJavaError, PySparkException) as e:
+            # the file system's own checksums may be the first to notice
+            raise StoreError("the snapshot's files can't be read, so they are not those of its manifest") from e
+        if found != self.manifest["files"]:
             raise StoreError("the snapshot's files are not those of its manifest")
 
     def as_snapshot_ref(self) -> SnapshotRef:
-        return SnapshotRef(self.content_hash, self.as_of_ns, str(self.path))
+        return SnapshotRef(self.content_hash, self.as_of_ns, self.path)
 
     def vintages(self, *, as_of_ns: int) -> DataFrame:
         if as_of_ns > self.as_of_ns:
             raise StoreError("the snapshot doesn't reach so far")
-        return snapshot_rows(self.spark.read.schema(schema.OBSERVATION).parquet(str(self.path / "data")), as_of_ns=as_of_ns)
+        return snapshot_rows(self.spark.read.schema(schema.OBSERVATION).parquet(f"{self.path}/data"), as_of_ns=as_of_ns)
 
     def read(self, *, signal_type: str, as_of_ns: int, security_ids=None, event_start_ns=None, event_end_ns=None) -> DataFrame:
-        return pit.pit_read(self.vintages(as_of_ns=min(as_of_ns, self.as_of_ns)), as_of_ns=as_of_ns, signal_type=signal_type, security_ids=security_ids, event_start_ns=event_start_ns, event_end_ns=event_end_ns)
+        return pit.in_order(pit.pit_read(self.vintages(as_of_ns=min(as_of_ns, self.as_of_ns)), as_of_ns=as_of_ns, signal_type=signal_type, security_ids=security_ids, event_start_ns=event_start_ns, event_end_ns=event_end_ns))
 
     def write(self, *_: object, **__: object) -> WriteReceipt:
         raise StoreError("a snapshot is read only")
 
     def snapshot(self, **_: object) -> SnapshotRef:
         raise StoreError("a snapshot is read only")
-
-
-def _remove(path: Path) -> None:
-    if path.exists():
-        import shutil
-
-        shutil.rmtree(path)

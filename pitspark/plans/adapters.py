@@ -68,8 +68,9 @@ def _universe(spark: SparkSession, config: dict[str, Any], run_id: str) -> DataF
 
 
 def _filings(spark: SparkSession, config: dict[str, Any], run_id: str) -> DataFrame:
-    """From landed JSON: one line per filer, with its number in ``cik``."""
-    filed = edgar.filings(spark.read.schema(f"cik string, {edgar.SUBMISSIONS}").json(config["submissions_path"]), forms=config["forms"])
+    """From landed JSON: one line per filer, with its number in ``cik``; ``history_path`` holds the older filing lists that a filer's file names, likewise."""
+    older = spark.read.schema(f"cik string, {edgar.HISTORY}").json(config["history_path"]) if config.get("history_path") else None
+    filed = edgar.filings(spark.read.schema(f"cik string, {edgar.SUBMISSIONS}").json(config["submissions_path"]), older, forms=config["forms"])
     stated = edgar.facts(spark.read.schema(f"cik string, {edgar.FACTS}").json(config["facts_path"]), filed, concepts=config["concepts"])
     rows = edgar.observations(filed, stated)
     return market.envelope(rows, adapter_id="sec_filings", source_id="sec_filings", suffix=F.concat_ws("|", "series_id", "vintage_id"), run_id=run_id)

@@ -9,9 +9,6 @@ from hashlib import sha256
 from typing import Any
 
 
-_COMPACT = (",", ":")
-
-
 class BacktestError(ValueError):
     """A safeguard is off without saying so, or a report promises returns."""
 
@@ -46,22 +43,31 @@ def run_backtest(spec: BacktestSpec) -> None:
 
 
 @dataclass(frozen=True)
-class RunManifest:
-    """What makes a run repeatable."""
+class Stamp:
+    """The inputs that identify a repeatable run."""
 
-    run_id: str
     snapshot_hash: str
     definition_hash: str = ""
+    universe_id: str = ""
+    cost_model_id: str = ""
+    seed: int = 0
+    code_version: str = ""
+
+
+@dataclass(frozen=True)
+class RunManifest(Stamp):
+    """A stamp and the run that it belongs to."""
+
+    run_id: str = ""
     parameters: dict[str, Any] = field(default_factory=dict)
 
     @property
     def hash(self) -> str:
-        fields = asdict(self)
-        return content_hash(fields)
+        return content_hash(asdict(self))
 
 
 def content_hash(value: Any) -> str:
-    return sha256(json.dumps(value, default=str, separators=_COMPACT, sort_keys=True).encode()).hexdigest()
+    return sha256(json.dumps(value, default=str, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -78,13 +84,15 @@ class Scorecard:
 class Report:
     title: str
     scorecard: Scorecard
-    stamp: dict[str, str]
+    stamp: Stamp | dict[str, str]
     diagnostics: dict[str, Any] = field(default_factory=dict)
     notes: tuple[str, ...] = ()
+    baseline: str | None = None
+    caveats: tuple[str, ...] = ("Diagnostics describe the past of a hypothesis and are no advice.",)
 
 
 #: Words that promise what a diagnostic can't.
-PROMISES = tuple("guaranteed|alpha|edge over the market|expected return".split("|"))
+PROMISES = ("guaranteed", "alpha", "edge over the market", "expected return")
 
 
 def assert_honest(text: str) -> None:
@@ -98,8 +106,10 @@ def render_markdown(report: Report) -> str:
     if report.scorecard.gross_illustrative:
         lines += ["**Gross of costs, illustrative only.**", ""]
     lines += ["## Safeguards", "", *(f"- {k.replace('_', ' ')}: {'pass' if v else 'FAIL'}" for k, v in asdict(report.scorecard).items() if k != "gross_illustrative"), ""]
-    lines += ["## Diagnostics", "", *(f"- {k}: {v}" for k, v in sorted(report.diagnostics.items())), ""]
-    lines += ["## Reproduction", "", *(f"- {k}: `{v}`" for k, v in sorted(report.stamp.items())), "", *report.notes]
+    stamp = asdict(report.stamp) if isinstance(report.stamp, Stamp) else report.stamp
+    lines += ["## Diagnostics", "", f"- baseline: {report.baseline or 'none'}", *(f"- {k}: {v}" for k, v in sorted(report.diagnostics.items())), ""]
+    lines += ["## Reproduction", "", *(f"- {k}: `{v}`" for k, v in sorted(stamp.items())), "", *report.notes]
+    lines += ["", "## Caveats", "", *(f"- {c}" for c in report.caveats)]
     text = "\n".join(lines).rstrip() + "\n"
     assert_honest(text)
     return text

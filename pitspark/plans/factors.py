@@ -115,18 +115,18 @@ class Engine:
             raise FactorError("the store is not the pinned snapshot")
         self.store, self.spark = store, store.spark
 
-    def _in_force(self, spec: Input, cuts: DataFrame, value: Column) -> DataFrame:
+    def _in_force(self, spec: Input, cuts: DataFrame, value: Column, *also: str) -> DataFrame:
         """The value in force of each entity at each cut. Order matters: vintage, series, check of series, coverage, newest event."""
         rows = self.store.vintages(as_of_ns=self.store.as_of_ns).where(F.col("signal_type") == spec.signal_type)
         if spec.series_id is not None:
             # the series belongs to the key of a vintage, so this may come first
             rows = rows.where(F.col("series_id") == spec.series_id)
         read = pit.pit_read_dates(rows, cuts)
-        if spec.series_id is None and (bad := pit.several_series(read, transforms.DATE).first()):
+        if spec.series_id is None and (bad := pit.several_series(read, transforms.DATE, *also).first()):
             raise FactorError(f"{bad['entity']} has several series of {spec.signal_type}; the input must name one")
         if spec.min_coverage is not None:
             read = pit.covered(read, spec.min_coverage, F.coalesce(payload_number("sample_size"), payload_number("mention_count")))
-        return pit.latest_in_force(read, value, transforms.DATE).drop("event_time_ns")
+        return pit.latest_in_force(read, value, transforms.DATE, *also).drop("event_time_ns")
 
     def build(self, definition: Definition, dates: Sequence[date]) -> Panel:
         if not definition.inputs:
@@ -139,20 +139,27 @@ class Engine:
         late = max(((d - date(1970, 1, 1)).days - lag for d in dates), default=0) * DAY_NS
         if late > self.store.as_of_ns:
             raise FactorError("a rebalance date lies beyond the snapshot")
-        section = self._in_force(first, pit.embargoed_cuts(rebalance, lag), payload_number(first.reads))
+        if any(op == "pct_change" for op, _ in definition.steps):
+            if first.window is None:
+                raise FactorError("pct_change needs a window on the first input")
+            # values and their bases in one read
+            cuts = [pit.embargoed_cuts(rebalance, lag + back).withColumn("back", F.lit(is_base)) for is_base, back in ((False, 0), (True, days(first.window)))]
+            section = transforms.with_base(self._in_force(first, cuts[0].union(cuts[1]), payload_number(first.reads), "back"))
+        else:
+            section = self._in_force(first, pit.embargoed_cuts(rebalance, lag), payload_number(first.reads))
         labels = None
-        for spec in others:
+        for order, spec in enumerate(others):
             if not self._in_force(spec, pit.embargoed_cuts(rebalance, lag), payload_number(spec.reads)).isEmpty():
                 raise FactorError("only the first input may be numeric")
             found = self._in_force(spec, pit.embargoed_cuts(rebalance, lag), payload_text(spec.reads)).withColumnRenamed("value", "label")
+            found = found.withColumn("_order", F.lit(order))
             labels = found if labels is None else labels.unionByName(found)
+        if labels is not None:
+            # of several inputs that label an entity the last one counts
+            labels = labels.groupBy(transforms.DATE, transforms.ENTITY).agg(F.max_by("label", "_order").alias("label"))
         for op, params in definition.steps:
             given: dict[str, Any] = dict(params)
-            if op == "pct_change":
-                if first.window is None:
-                    raise FactorError("pct_change needs a window on the first input")
-                given["base"] = self._in_force(first, pit.embargoed_cuts(rebalance, lag + days(first.window)), payload_number(first.reads))
-            elif op == "sector_neutralize" and "sectors" not in given:
+            if op == "sector_neutralize" and "sectors" not in given:
                 if labels is None:
                     raise FactorError("sector_neutralize needs an input of labels, or sectors")
                 given["sectors"] = labels

@@ -106,9 +106,26 @@ def invalid_reason() -> Column:
     """Why an envelope is invalid: the first required text that is null or empty; null: valid."""
     tests = [F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.lit(f"{c} is empty")) for c in REQUIRED_TEXT]
     tests += [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in ("series_id", "vintage_id", "event_time_ns", "knowledge_time_ns", "ingest_time_ns", "data_class", "payload")]
+    # a payload of a standard type has no fields but those of the type
+    by_type = {kind: [f.split(" ")[0] for f in _split(ddl)] for kind, ddl in PAYLOADS.items()}
+    fields = F.create_map(*(x for kind, names in by_type.items() for x in (F.lit(kind), F.array(*map(F.lit, names)))))
+    foreign = F.array_except(F.json_object_keys("payload"), F.try_element_at(fields, F.col("signal_type")))
+    tests.append(F.when(F.col("signal_type").isin(*by_type) & (F.json_object_keys("payload").isNull() | (F.size(foreign) > 0)), F.lit("payload is not one of its signal type")))
     return F.coalesce(*tests)
 
 
+def _split(ddl: str) -> list[str]:
+    """Fields of a DDL, at the commas outside brackets."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 def conform(rows: DataFrame) -> DataFrame:
     """The columns of an observation in order; a table from before series ids gets empty ones."""
     if "series_id" not in rows.columns:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitspark.functions.scalar import iso_moment_ns, ns_of_date
+from pitspark.functions.scalar import filer_cik, iso_moment_ns, ns_of_date
 
 TAXONOMIES = ("us-gaap", "ifrs-full", "dei")
+HISTORY = "accessionNumber array<string>, filingDate array<string>, reportDate array<string>, acceptanceDateTime array<string>, form array<string>, items array<string>"
 _RECENT = "struct<accessionNumber:array<string>,filingDate:array<string>,reportDate:array<string>,acceptanceDateTime:array<string>,form:array<string>,items:array<string>>"
 SUBMISSIONS = f"filings struct<recent:{_RECENT},files:array<struct<name:string>>>"
 FACTS = "facts map<string,map<string,struct<units:map<string,array<struct<accn:string,start:string,end:string,val:double,form:string>>>>>>"
@@ -51,9 +52,9 @@ def filings(submissions: DataFrame, history: DataFrame | None = None, *, forms:
     """cik, accession, form_type, period_end, accepted_ns, items, amends_ref. ``submissions``: cik and ``filings`` (SUBMISSIONS);
     ``history``: cik and the fields of a further list, as columns."""
     names = "accessionNumber filingDate reportDate acceptanceDateTime form items".split()
-    rows = submissions.select("cik", F.col("filings.recent").alias("columns"))
+    rows = submissions.select(filer_cik(F.col("cik")).alias("cik"), F.col("filings.recent").alias("columns"))
     if history is not None:
-        rows = rows.unionByName(history.select("cik", F.struct(*names).alias("columns")))
+        rows = rows.unionByName(history.select(filer_cik(F.col("cik")).alias("cik"), F.struct(*names).alias("columns")))
     flat = explode_columns(rows, "columns", names).where(form_wanted(F.col("form"), forms))
     items = F.filter(F.transform(F.split(F.coalesce("items", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     period = F.coalesce(F.nullif("reportDate", F.lit("")), F.col("filingDate"))
@@ -84,13 +85,14 @@ def facts(rows: DataFrame, found: DataFrame, *, concepts: Sequence[str]) -> Data
     """cik, accession, concept, unit, start, period_end, period_type, value, accepted_ns of the wanted concepts. ``rows``: cik
     and ``facts`` (FACTS). Exact repeats count once; two values of one fact raise."""
     flat = flatten_facts(rows).where(F.col("taxonomy").isin(*TAXONOMIES) & F.col("concept").isin(*concepts))
-    flat = flat.select("cik", F.col("item.accn").alias("accession"), "concept", "unit", F.coalesce("item.start", F.lit("")).alias("start"), F.to_date("item.end").alias("period_end"), F.col("item.val").alias("value"))
+    flat = flat.select(filer_cik(F.col("cik")).alias("cik"), F.col("item.accn").alias("accession"), "concept", "unit", F.coalesce("item.start", F.lit("")).alias("start"), F.to_date("item.end").alias("period_end"), F.col("item.val").alias("value"))
     key = ["cik", "accession", "concept", "unit", "start", "period_end"]
+    # facts of filings that aren't known don't count, not even as contradictions
+    flat = flat.join(found.select("cik", "accession", "accepted_ns"), ["cik", "accession"])
     if bad := conflicting(flat, key, "value").first():
         raise FilingError(f"{bad['concept']} of {bad['accession']} has two values")
-    known = found.select("cik", "accession", "accepted_ns")
     kind = F.when(F.col("start") != "", "duration").otherwise("instant")
-    return flat.dropDuplicates(key).join(known, ["cik", "accession"]).withColumn("period_type", kind)
+    return flat.dropDuplicates(key).withColumn("period_type", kind)
 
 
 def observations(found: DataFrame, company_facts: DataFrame) -> DataFrame:

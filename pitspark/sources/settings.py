@@ -22,6 +22,12 @@ class AdapterSettings:
     entity_kind: str = "ticker"
     config: dict[str, Any] = field(default_factory=dict)
     enabled: bool = True
+    #: Adapters of one provider share its rate limit; empty: the adapter is its own.
+    provider: str = ""
+
+    @property
+    def limited_by(self) -> str:
+        return self.provider or self.id
 
 
 @dataclass(frozen=True)
@@ -71,7 +77,7 @@ class Settings:
             if not a.get("id"):
                 raise SettingsError("every [[adapters]] needs an id")
             config = {k: at(v) if k.endswith("_path") and isinstance(v, str) else v for k, v in a.get("config", {}).items()}
-            adapters.append(AdapterSettings(a["id"], a.get("entity_kind", "ticker"), config, a.get("enabled", True)))
+            adapters.append(AdapterSettings(a["id"], a.get("entity_kind", "ticker"), config, a.get("enabled", True), str(a.get("provider", ""))))
         if len({a.id for a in adapters}) < len(adapters):
             raise SettingsError("an adapter is listed twice")
         limits = {}

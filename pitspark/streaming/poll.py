@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitspark.sources.files import Files
+
 
 def increment(rows: DataFrame, *, floor_ns: int | None, now_ns: int) -> DataFrame:
     hit = rows.where(F.col("knowledge_time_ns") <= now_ns)
@@ -23,15 +24,16 @@ def increment(rows: DataFrame, *, floor_ns: int | None, now_ns: int) -> DataFram
 
 
 class Poller:
-    """Micro-batches of a source into ``sink``. The floor is kept in ``checkpoint`` and moves after the sink has
+    """Micro-batches of a source into ``sink``. The floor is kept in the file ``checkpoint``, on any file system, and moves after the sink has
     taken the batch, so a batch may come twice but is never lost; the store skips rows that it has."""
 
     def __init__(self, source: Callable[[], DataFrame], sink: Callable[[DataFrame], object], checkpoint: str | os.PathLike[str]):
-        self.source, self.sink, self.path = source, sink, Path(checkpoint)
+        self.source, self.sink, self.path = source, sink, str(checkpoint)
 
     @property
     def floor_ns(self) -> int | None:
-        return json.loads(self.path.read_text())["floor_ns"] if self.path.exists() else None
+        files = Files(SparkSession.active())
+        return json.loads(files.read(self.path))["floor_ns"] if files.exists(self.path) else None
 
     def poll(self, *, now_ns: int) -> object | None:
         """What the sink returns; None: nothing new."""
@@ -41,10 +43,7 @@ class Poller:
             return None
         # the bound makes the batch the one that was measured, even if the source has grown meanwhile
         result = self.sink(batch.where(F.col("knowledge_time_ns") <= last))
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        temporary = self.path.with_suffix(".tmp")
-        temporary.write_text(json.dumps({"floor_ns": last}))
-        os.replace(temporary, self.path)
+        Files(SparkSession.active()).publish(self.path, json.dumps({"floor_ns": last}), replace=True)
         return result
 
 
