@@ -19,6 +19,11 @@ def by_signal(rows: DataFrame) -> DataFrame:
     return stats.withColumn("coverage", F.col("n_resolved") / F.greatest("n_rows", F.lit(1))).orderBy("signal_type")
 
 
+def coverage(rows: DataFrame) -> DataFrame:
+    """Of each signal type of a source its first event and its number of entities."""
+    return rows.groupBy("signal_type").agg(F.min("event_time_ns").alias("first_event_ns"), F.countDistinct("native_entity").alias("n_entities"))
+
+
 def lines(rows: DataFrame) -> list[str]:
     """A readable report; the table of signal types is small."""
     t = totals(rows).first()

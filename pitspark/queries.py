@@ -126,9 +126,9 @@ def store_summary(spark, sf_dir):
     return inspect.by_signal(observations(spark, sf_dir))
 
 
-@_query(f"WITH {OBS} SELECT signal_type, max(sample_size) AS largest, min(CAST(event_time_ns // {DAY} AS BIGINT)) AS first_day, CAST(count(DISTINCT native_entity) AS BIGINT) AS n_entities FROM obs GROUP BY signal_type")
+@_query(f"WITH {OBS} SELECT signal_type, min(event_time_ns) AS first_event_ns, CAST(count(DISTINCT native_entity) AS BIGINT) AS n_entities FROM obs GROUP BY signal_type")
 def source_coverage(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("signal_type").agg(F.max("sample_size").alias("largest"), F.min(F.floor(F.col("event_time_ns") / DAY)).alias("first_day"), F.countDistinct("native_entity").alias("n_entities"))
+    return inspect.coverage(observations(spark, sf_dir)).select("signal_type", "first_event_ns", "n_entities")
 
 
 # several dates at once
@@ -439,12 +439,6 @@ def cost_bps(spark, sf_dir):
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.round(cost["total_bps"], 6).alias("total_bps"))
 
 
-@_query(f"WITH {OBS} SELECT signal_type, observation_id FROM obs WHERE signal_type IN ('evt.click', 'evt.view') UNION ALL SELECT 'evt.customer', CAST(c_custkey AS VARCHAR) FROM customer")
-def union_sources(spark, sf_dir):
-    o = observations(spark, sf_dir).where("signal_type IN ('evt.click', 'evt.view')").select("signal_type", "observation_id")
-    return o.unionByName(_read(spark, sf_dir, "customer").select(F.lit("evt.customer").alias("signal_type"), F.col("c_custkey").cast("string").alias("observation_id")))
-
-
 @_query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS missing, CAST(NULL AS DOUBLE) AS flag, event_type AS label FROM events""")
 def payload_fields(spark, sf_dir):
     e = _read(spark, sf_dir, "events")
@@ -452,7 +446,17 @@ def payload_fields(spark, sf_dir):
     return rows.select("event_id", S.payload_number("k").alias("k"), S.payload_number("nope").alias("missing"), S.payload_number("flag").alias("flag"), S.payload_text("label").alias("label"))
 
 
-@_query(None)
+_B32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def _digits_sql(value: str, n: int) -> str:
+    return " || ".join(f"substr('{_B32}', CAST((({value}) >> {5 * k}) & 31 AS INTEGER) + 1, 1)" for k in range(n - 1, -1, -1))
+
+
+_CHUNKS_SQL = " || ".join(_digits_sql(f"CAST('0x' || substr(digest, {1 + 5 * k}, 5) AS BIGINT)", 4) for k in range(4))
+
+
+@_query(f"WITH {OBS}, d AS (SELECT observation_id, CAST(event_time_ns // 1000000 AS BIGINT) AS ms, sha256(signal_type || '|' || native_entity || '|' || observation_id) AS digest FROM obs) SELECT observation_id, {_digits_sql('ms', 10)} || {_CHUNKS_SQL} AS ulid FROM d")
 def ulid_ids(spark, sf_dir):
     o = observations(spark, sf_dir)
     return o.select("observation_id", S.ulid_column((F.col("event_time_ns") / 1_000_000).cast("long"), F.concat_ws("|", "signal_type", "native_entity", "observation_id")).alias("ulid"))
@@ -466,3 +470,6 @@ def snapshot_hash(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_pipeline(spark, sf_dir)
 
+
+
+from pitspark import queries_io as _queries_io  # noqa: E402, F401 - registers its queries
