@@ -78,6 +78,23 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [s for s in symbols if s >= 0]
 
 
+class _Spans:
+    """The byte strings of all tokens in one array, from which those of many ids are gathered at once."""
+
+    def __init__(self, of: dict[int, bytes]):
+        sizes = np.zeros(max(of, default=-1) + 1, np.int64)
+        sizes[list(of)] = [len(b) for b in of.values()]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.data = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
+
+    def gather(self, ids: np.ndarray, off: np.ndarray) -> tuple[bytes, list[int]]:
+        """The strings of ``ids`` joined, and the n+1 places in them where the groups that ``off`` bounds begin."""
+        sizes = self.sizes[ids]
+        ends = np.append(0, np.cumsum(sizes))
+        at = np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        return self.data[at].tobytes(), ends[off].tolist()
+
+
 class _Lockstep:
     """``merge`` for many short pieces at once: their segment trees are columns of one array, and every
     step applies the root merge of each piece that still has one."""
@@ -102,15 +119,20 @@ class _Lockstep:
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Pieces of 1 to LIMIT bytes."""
         out: list[list[int]] = [[]] * len(pieces)
-        sizes = np.array([len(p) for p in pieces])
+        for which, ids, off in self.merged(pieces):
+            for i, a, b in zip(which.tolist(), off, off[1:], strict=False):
+                out[i] = ids[a:b].tolist()
+        return out
+
+    def merged(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces of 1 to LIMIT bytes. Yields numbers of pieces, all their ids, and n+1 offsets of the pieces into them."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
         for low, size in ((0, 4), (4, 8), (8, 16), (16, 32)):
             which = np.flatnonzero((sizes > low) & (sizes <= size))
             if len(which):
-                for i, ids in zip(which.tolist(), self._merge([pieces[i] for i in which], sizes[which], size), strict=True):
-                    out[i] = ids
-        return out
+                yield which, *self._merge([pieces[i] for i in which.tolist()], sizes[which], size)
 
-    def _merge(self, pieces: list[bytes], sizes: np.ndarray, size: int) -> list[list[int]]:
+    def _merge(self, pieces: list[bytes], sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         m = len(pieces)
         raw = np.frombuffer(b"".join([p.ljust(size, b"\0") for p in pieces]), np.uint8).reshape(m, size)
         ids = np.full((size + 1, m), -1, np.int32)
@@ -148,8 +170,9 @@ class _Lockstep:
                     node = node >> 1
                     flat[node * m + rows] = np.minimum(flat[2 * node * m + rows], flat[(2 * node + 1) * m + rows])
             live = live[flat[m + live] != self.none]
-        columns = ids.T
-        return [row[row >= 0].tolist() for row in columns]
+        rows = np.ascontiguousarray(ids.T)
+        there = rows >= 0
+        return rows[there], np.append(0, np.cumsum(there.sum(1)))
 
 
 class ByteBPE:
@@ -169,42 +192,67 @@ class ByteBPE:
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.lockstep = _Lockstep(self.byte_ids, self.ranks)
         self.texts = {i: str(i) for i in self.token_bytes}
+        self.text_spans, self.byte_spans = _Spans({i: f"{i},".encode() for i in self.token_bytes}), _Spans(self.token_bytes)
         self.split = regex.compile(PATTERN).findall
         ordered = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, ordered))) if ordered else None
         self.cache: dict[str, tuple[str, bytes]] = {}
-
-    def ids(self, part: str) -> list[int]:
-        """Ids of a part without special tokens."""
-        out: list[int] = []
-        for piece in self.split(part):
-            out.extend(merge([self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")], self.ranks))
-        return out
+        self.seen: dict[str, tuple[str, bytes]] = {}
 
     def known(self, part: str) -> tuple[str, bytes]:
-        """Comma-joined ids and decoded bytes of a part."""
-        ids = self.ids(part)
-        return self._known(ids)
-
-    def _known(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(self.texts.__getitem__, ids)), self.decode_bytes(ids)
+        """Comma-joined ids and decoded bytes of a part without special tokens."""
+        found = [self.seen.get(p) or self._piece(p) for p in self.split(part)]
+        if len(found) == 1:
+            return found[0]
+        return ",".join([x for x, _ in found]), b"".join([x for _, x in found])
+
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        ids = merge([self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")], self.ranks)
+        found = ",".join(map(self.texts.__getitem__, ids)), self.decode_bytes(ids)
+        if len(piece) <= CACHE_CHARS:
+            if len(self.seen) >= CACHE_CHUNKS:
+                self.seen.clear()
+            self.seen[piece] = found
+        return found
 
     def learn(self, texts: Iterable[str]) -> None:
         """Caches the chunks of the texts that are not known yet; their distinct pieces are merged in lockstep."""
         fresh: set[str] = set()
         for text in texts:
             fresh.update(text.split(" "))
-        fresh = {c for c in fresh if c not in self.cache and 0 < len(c) <= CACHE_CHARS and not c[0].isspace() and not c[-1].isspace()}
-        if len(self.cache) + len(fresh) > CACHE_CHUNKS:
+        chunks = [c for c in fresh.difference(self.cache) if 0 < len(c) <= CACHE_CHARS and not c[0].isspace() and not c[-1].isspace()]
+        if len(self.cache) + len(chunks) > CACHE_CHUNKS:
             self.cache.clear()
-        cut = {c: self.split(" " + c) for c in fresh}
-        pieces = list({p for x in cut.values() for p in x})
+        if not chunks:
+            return
+        # no piece reaches over the space before a chunk, and only a chunk's first piece begins with a space
+        pieces = self.split(" " + " ".join(chunks))
+        distinct = set(pieces)
+        if len(self.seen) + len(distinct) > CACHE_CHUNKS:
+            self.seen.clear()
+        self._merged([p for p in distinct if p not in self.seen])
+        found = list(map(self.seen.__getitem__, pieces))
+        starts = [k for k, p in enumerate(pieces) if p[0] == " "]
+        for c, a, b in zip(chunks, starts, [*starts[1:], len(pieces)], strict=True):
+            if b - a == 1:
+                self.cache[c] = found[a]
+            else:
+                ids, raw = zip(*found[a:b], strict=True)
+                self.cache[c] = ",".join(ids), b"".join(raw)
+
+    def _merged(self, pieces: list[str]) -> None:
+        """Caches pieces, those of up to LIMIT bytes together."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         short = [k for k, r in enumerate(raw) if len(r) <= _Lockstep.LIMIT]
-        done = dict(zip([pieces[k] for k in short], self.lockstep.merge([raw[k] for k in short]), strict=True))
-        done |= {pieces[k]: merge([self.byte_ids[b] for b in r], self.ranks) for k, r in enumerate(raw) if len(r) > _Lockstep.LIMIT}
-        for c, x in cut.items():
-            self.cache[c] = self._known(done[x[0]] if len(x) == 1 else [i for p in x for i in done[p]])
+        for which, ids, off in self.lockstep.merged([raw[k] for k in short]):
+            (text, t), (back, b) = self.text_spans.gather(ids, off), self.byte_spans.gather(ids, off)
+            text = text.decode("ascii")
+            for i, t0, t1, b0, b1 in zip(which.tolist(), t, t[1:], b, b[1:], strict=False):
+                self.seen[pieces[short[i]]] = text[t0 : t1 - 1], back[b0:b1]
+        for p, r in zip(pieces, raw, strict=True):
+            if len(r) > _Lockstep.LIMIT:
+                ids = merge([self.byte_ids[b] for b in r], self.ranks)
+                self.seen[p] = ",".join(map(self.texts.__getitem__, ids)), self.decode_bytes(ids)
 
     def chunk(self, chunk: str) -> tuple[str, bytes] | None:
         """``known`` of a space and the chunk. None if white space begins or ends the chunk, or it is empty:

@@ -151,6 +151,21 @@ def test_lockstep_equals_single_merges():
     assert own.lockstep.merge(pieces) == [bpe.merge([own.byte_ids[b] for b in p], own.ranks) for p in pieces]
 
 
+def test_known_pieces_are_not_merged_again(monkeypatch):
+    t, own = _tokenizer(), bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    own.learn(["a one,two \n three"])
+    merged, plain = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda symbols, ranks: merged.append(symbols) or plain(symbols, ranks))
+    own.learn(["one two,one three", "two"])
+    text = "  one,two  three one,two"  # its double spaces keep the chunks from being used
+    assert own.encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert len(merged) == 1  # the piece of one space
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
+    for text in ("one,two five six seven", "  two\nsix  one", "eight nine ten eleven ten"):
+        own.learn([text])
+        assert own.encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def _backoff(docs):
     words = [[w.translate({i: i + 32 for i in range(65, 91)}) for w in WORD.findall(t or "")] for t in docs]
     grams = lambda w, n: collections.Counter(zip(*(w[i:] for i in range(n)), strict=False))
