@@ -4,6 +4,9 @@ A line is the set of its words. Words are ordered by rarity, and a line is index
 prefix: two lines of Jaccard similarity t share a word of their prefixes of n - ceil(t n) + 1. Pairs that
 share one pass a length filter, a positional filter and a bound from parity bitmaps (sets that differ in
 d words differ in at most d bits), and are then verified on their full sets.
+
+The index is exchanged as columns of numbers by ranges of words, a row per range and task, and each range is
+joined in arrays: entries ordered by word and size, so that an entry meets only the sizes that its own allows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitspark.llm._io import cut, remove, table
-from pitspark.llm._text import _K1, _K2, _LOWER, buffers, hash_spans, list_array, mix, planes, slices, unplanes, word_spans, words
+from pitspark.llm._text import _K1, _K2, _LOWER, buffers, hash_spans, mix, planes, slices, unplanes, word_spans, words
 from pitspark.llm.minhash import confirm
 
 #: Words are counted in so many buckets by hash, in codes of one byte. Any order of words is exact; that of the
@@ -30,6 +33,11 @@ SLICE_BYTES = 2 << 20
 PERCENT, MIN_WORDS = 80, 1
 #: A Hamming distance of parities stands above the number of a class in one long.
 HAM_SHIFT = 55
+#: Ranges of words to a shuffle partition, entries of the index that a task collects before it divides them by range,
+#: and pairs that are in arrays at once. A task that joins holds one range's entries, 36 bytes each.
+RANGES, INDEX_ROWS, PAIR_ROWS = 4, 1 << 20, 1 << 20
+#: An entry of the index: word, size of the line, place of the word in it, class, parity.
+ENTRY = {"tok": np.uint32, "n": np.int32, "p": np.int32, "c": np.int64, "b1": np.uint64, "b2": np.uint64}
 
 
 def _codes(counts: np.ndarray) -> np.ndarray:
@@ -88,16 +96,18 @@ def _line_sets(col: pa.Array, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.searchsorted(row, np.arange(len(off) - 1))
     number = np.arange(len(row)) - first[row]
     line = np.searchsorted(begin, starts, "right") - 1
-    code = rarity[_bucket(h)]
-    # line, code and half of the hash in one number; where that leaves words apart that are equal, all of the hash
-    packed = (line.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-    order = np.argsort(packed, kind="stable")
-    if ((packed[order][1:] == packed[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
-        order = np.lexsort((h, packed))
-    h, line, code = h[order], line[order], code[order]
+    # line, code of rarity and half of the hash in one number; where that leaves words apart that are equal, all of the hash
+    packed = (line.astype(np.uint64) << np.uint64(40)) | (rarity[_bucket(h)].astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+    order = np.argsort(packed)
+    h, ordered = h[order], packed[order]
     new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return h[new], line[new], code[new], row, number
+    new[1:] = ordered[1:] != ordered[:-1]
+    if (~new[1:] & (h[1:] != h[:-1])).any():
+        again = np.lexsort((h, ordered))
+        h = h[again]
+        new[1:] |= h[1:] != h[:-1]
+    ordered = ordered[new]
+    return h[new], (ordered >> np.uint64(40)).astype(np.int64), (ordered >> np.uint64(32)).astype(np.uint8), row, number
 
 
 def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -107,9 +117,19 @@ def _parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), starts) for x in (low, ~low)])
 
 
+def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """Words of a line's prefix: any similar line has one of them in its own prefix."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary array of the values' bytes, divided at ``cuts``."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.ndarray) -> DataFrame:
     """key, h, row, line, n, fp1, fp2 (fingerprints of the set), b1, b2 (parity) of every line with a word, and z: the words of its
-    prefix that occur more than once, each above its place in the order; none where only an equal set can match."""
+    prefix that occur more than once, the last of the prefix in four bytes each; none where only an equal set can match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,24 +142,24 @@ def _sets(docs: DataFrame, kind: str, min_words: int, percent: int, rarity: np.n
                 sums = [np.add.reduceat(mix(x), starts) if len(full) else np.zeros(0, np.uint64) for x in (h + _K1, h ^ _K2)]
                 parity = _parity(h, starts) if len(full) else np.zeros((2, 0), np.uint64)
                 own = np.repeat(np.arange(len(full)), n)
-                size = n - (percent * n + 99) // 100 + 1
+                size = _prefix(n, percent)
                 place = np.arange(len(h)) - starts[own]
                 # a set that not even one word more leaves similar is matched by equal sets only
                 size[(percent * (n + 1) > 100 * n) | (n < min_words)] = 0
                 prefix = (place < size[own]) & (code > 1)
-                z = (h[prefix] << np.uint64(32)) | place[prefix].astype(np.uint64)
+                # words that occur once come first in the order, so those left are the last of the prefix and their places need no room
                 cuts = np.append(0, np.cumsum(np.bincount(own[prefix], minlength=len(full))))
                 at = pa.array(row[full])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c).take(at) for c in ("key", "h", "row")), pa.array(number[full].astype(np.int32)), pa.array(n.astype(np.int32)),
                         pa.array(sums[0].view(np.int64)), pa.array((sums[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        *(pa.array(p.view(np.int64)) for p in parity), list_array(z.view(np.int64), cuts, pa.int64()),
+                        *(pa.array(p.view(np.int64)) for p in parity), _packed(h[prefix].astype(np.uint32), cuts),
                     ],
                     names=["key", "h", "row", "line", "n", "fp1", "fp2", "b1", "b2", "z"],
                 )
 
-    return docs.select("key", "h", "row", "text").mapInArrow(run, f"key {kind}, h long, row long, line int, n int, fp1 long, fp2 int, b1 long, b2 long, z array<long>")
+    return docs.select("key", "h", "row", "text").mapInArrow(run, f"key {kind}, h long, row long, line int, n int, fp1 long, fp2 int, b1 long, b2 long, z binary")
 
 
 def _bits(rows: DataFrame, slot: Column) -> np.ndarray:
@@ -171,14 +191,115 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(wanted, ["row", "line"]).select("doc", "text")
 
 
+def _entries(batch: pa.RecordBatch, percent: int) -> dict[str, np.ndarray]:
+    """The index's entries of the lines (c, n, b1, b2, z) of a batch."""
+    data, off = buffers(batch.column("z"))
+    k = np.diff(off) // 4
+    own = np.repeat(np.arange(len(k)), k)
+    n = batch.column("n").to_numpy().astype(np.int64)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(k) - _prefix(n, percent), k)
+    sides = {x: batch.column(x).to_numpy().view(ENTRY[x])[own] for x in ("c", "b1", "b2")}
+    return {"tok": data.view(np.uint32), "n": n[own].astype(np.int32), "p": place.astype(np.int32)} | sides
+
+
+def _index(lines: DataFrame, percent: int) -> DataFrame:
+    """r (range of words) and the entries of it as bytes, a column each, ordered by r within partitions that hold whole ranges."""
+    ranges = RANGES * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def divided(some: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        entries = {x: np.concatenate([e[x] for e in some]) for x in ENTRY}
+        order = np.argsort(entries["tok"])
+        r = (entries["tok"][order].astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+        cuts = np.append(np.flatnonzero(np.diff(r, prepend=-1)), len(r))
+        return pa.RecordBatch.from_arrays([pa.array(r[cuts[:-1]]), *(_packed(x[order], cuts) for x in entries.values())], names=["r", *ENTRY])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[dict[str, np.ndarray]] = []
+        for batch in batches:
+            some.append(_entries(batch, percent))
+            if sum(len(e["tok"]) for e in some) >= INDEX_ROWS:
+                yield divided(some)
+                some = []
+        if sum(len(e["tok"]) for e in some):
+            yield divided(some)
+
+    made = lines.select("c", "n", "b1", "b2", "z").mapInArrow(run, "r int, " + ", ".join(f"{x} binary" for x in ENTRY))
+    return made.repartition("r").sortWithinPartitions("r")
+
+
+def _pairs(entries: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """a, b and ham of the pairs of lines that ``entries`` make and the filters pass, repeated as they share words; a is earlier than b."""
+    order = np.argsort(entries["tok"].astype(np.uint64) << np.uint64(32) | entries["n"].astype(np.uint64))
+    tok, n, p, c, b1, b2 = (entries[x][order] for x in ENTRY)
+    n = n.astype(np.int64)
+    rest = n - p
+    key = tok.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
+    # of the first word that similar lines share, the smaller has at least this many words from there on, as the larger has no fewer than it
+    first = np.flatnonzero(rest * (100 + percent) >= 2 * percent * n)
+    most = np.minimum(n[first] * 100 // percent, (1 << 32) - 1).astype(np.uint64)
+    count = np.searchsorted(key, (key[first] & np.uint64(0xFFFFFFFF << 32)) | most, "right") - first - 1
+    first, count = first[count > 0], count[count > 0]
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(first):
+        done = ends[at] - count[at]
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIR_ROWS, "right")))
+        x = np.repeat(first[at:to], count[at:to])
+        y = x + 1 + np.arange(len(x)) - np.repeat(ends[at:to] - count[at:to] - done, count[at:to])
+        at = to
+        total = n[x] + n[y]
+        near = (np.minimum(rest[x], rest[y]) * (100 + percent) >= total * percent) & (c[x] != c[y])
+        x, y, total = x[near], y[near], total[near]
+        ham = np.bitwise_count(b1[x] ^ b1[y]).astype(np.int64) + np.bitwise_count(b2[x] ^ b2[y])
+        near = ham * (100 + percent) <= total * (100 - percent)
+        x, y, ham = c[x[near]], c[y[near]], ham[near]
+        yield np.minimum(x, y), np.maximum(x, y), ham
+
+
+def _likeliest(index: DataFrame, percent: int) -> DataFrame:
+    """b and m: of the earlier lines that are candidates for b in one range, the one of the least Hamming distance, which stands above it."""
+
+    def least(b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((m, b))
+        b, m = b[order], m[order]
+        new = np.flatnonzero(np.diff(b, prepend=-1))
+        return b[new], m[new]
+
+    def joined(some: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, b, ham in _pairs({x: np.concatenate(v) for x, v in some.items()}, percent):
+            best = least(np.append(best[0], b), np.append(best[1], ham << HAM_SHIFT | a))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["b", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, some = None, {}
+        for batch in batches:
+            r = batch.column("r").to_numpy()
+            columns = {x: buffers(batch.column(x)) for x in ENTRY}
+            cuts = np.append(np.flatnonzero(np.diff(r, prepend=-1)), len(r))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if some and r[i] != last:
+                    yield joined(some)
+                    some = {}
+                last = r[i]
+                for x, (data, off) in columns.items():
+                    # a copy, so that its address fits the type and the batch can go
+                    some.setdefault(x, []).append(np.frombuffer(data[off[i] : off[j]].tobytes(), ENTRY[x]))
+        if some:
+            yield joined(some)
+
+    return index.mapInArrow(run, "b long, m long").groupBy("b").agg(F.min("m").alias("m"))
+
+
 def _candidates(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """a, b and ham of pairs that share a prefix word and pass the filters; a is earlier than b."""
+    """a and b of pairs that share a prefix word and pass the filters; a is earlier than b."""
     n, p = ({s: f(F.col(f"{s}.np")) for s in "xy"} for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(0xFFFFFFFF)))
-    total, most = n["x"] + n["y"], F.least(p["x"], p["y"]) + F.least(n["x"] - p["x"], n["y"] - p["y"])
+    # the first word that similar lines share has all that they share from there on in either
+    total, most = n["x"] + n["y"], F.least(n["x"] - p["x"], n["y"] - p["y"])
     ham = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
     alike = (F.least(n["x"], n["y"]) * 100 >= F.greatest(n["x"], n["y"]) * percent) & (ham * (100 + percent) <= total * (100 - percent)) & (most * (100 + percent) >= total * percent)
     joined = x.alias("x").join(y.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & alike)
-    return joined.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), ham.alias("ham"))
+    return joined.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
 
 def removed_lines(rows: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -197,21 +318,19 @@ def removed_lines(rows: DataFrame, *, percent: int = PERCENT, min_words: int = M
     again = classes.where("copies > 1").select("fp1", "fp2", "n", F.col("row").alias("_r"), F.col("line").alias("_l"))
     copies = cut(every.select("row", "line", "fp1", "fp2", "n").join(again, ["fp1", "fp2", "n"]).where("row <> _r OR line <> _l").select("row", "line"))
     remove(every)
-    whole = classes.where("size(z) > 0").select("c", "n", "b1", "b2", "z")
+    whole = classes.where("length(z) > 0").select("c", "n", "b1", "b2", "z")
 
     # first each line against its likeliest candidate only; a line that this removes needs no other
-    index = _exploded(whole)
-    packed = F.min(F.shiftleft(F.col("ham").cast("long"), HAM_SHIFT).bitwiseOR(F.col("a"))).alias("m")
-    likeliest = cut(_candidates(index, index, percent).groupBy("b").agg(packed).select(F.col("m").bitwiseAND((1 << HAM_SHIFT) - 1).alias("a"), "b"))
+    likeliest = cut(_likeliest(_index(whole, percent), percent).select(F.col("m").bitwiseAND((1 << HAM_SHIFT) - 1).alias("a"), "b"))
     sides = lambda d: d.select(F.col("a").alias("doc")).union(d.select("b")).distinct()
     placed = lambda d: cut(sides(d).join(classes.select(F.col("c").alias("doc"), "row", "line"), "doc"))
     done = cut(confirm(likeliest, _texts(plain, placed(likeliest)), 1, percent).select("b"))
     left = cut(likeliest.join(done, "b", "left_anti"))
-    more = cut(_exploded(whole.join(left.select(F.col("b").alias("c")), "c", "left_semi")))
+    more = cut(_with_words(whole.join(left.select(F.col("b").alias("c")), "c", "left_semi"), percent))
     size = _size_class(F.shiftright("np", 32), percent)
     sized = more.select("tok", F.explode(F.sequence(size - 1, size + 1)).alias("c"))
     near = _with_words(whole, percent, _bits(sized, _word_slot("tok", "c")))
-    pairs = _candidates(near, more, percent).select("a", "b").distinct()
+    pairs = _candidates(near, more, percent).distinct()
     pairs = cut(pairs.join(left, ["a", "b"], "left_anti"))
     also = confirm(pairs, _texts(plain, placed(pairs)), 1, percent).select("b").distinct()
     out = cut(copies.union(done.union(also).select(F.col("b").alias("c")).join(classes.select("c", "row", "line"), "c").select("row", "line")))
@@ -228,29 +347,24 @@ def _word_slot(tok: str, size: str) -> Column:
     return (F.col(tok).cast("long") + F.col(size).cast("long") * 7_368_787).bitwiseAND(PICK_BITS - 1)
 
 
-def _with_words(lines: DataFrame, percent: int, bits: np.ndarray) -> DataFrame:
-    """``_exploded``, but only words whose bit is set for the line's size."""
+def _with_words(lines: DataFrame, percent: int, bits: np.ndarray | None = None) -> DataFrame:
+    """A row per word of a prefix: class c, np (size above the word's place), parity and tok. With ``bits``, only words whose
+    bit is set for the line's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = batch.column("z")
-            own = np.repeat(np.arange(batch.num_rows), z.value_lengths().to_numpy())
-            flat = z.flatten().to_numpy()
-            tok = (flat >> 32).astype(np.int32)
-            at = (tok.astype(np.int64) + batch.column("size_class").to_numpy().astype(np.int64)[own] * 7_368_787) & (PICK_BITS - 1)
-            hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-            own = own[hit]
-            c, b1, b2 = (batch.column(x).take(pa.array(own)) for x in ("c", "b1", "b2"))
-            np_ = (batch.column("n").to_numpy().astype(np.int64)[own] << 32) | (flat[hit] & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([c, pa.array(np_), b1, b2, pa.array(tok[hit])], names=["c", "np", "b1", "b2", "tok"])
-
-    return lines.select("*", _size_class(F.col("n"), percent).alias("size_class")).mapInArrow(run, "c long, np long, b1 long, b2 long, tok int")
-
-
-def _exploded(lines: DataFrame) -> DataFrame:
-    """A row per word of a prefix: class c, np (size above the word's place), parity and tok."""
-    size = F.shiftleft(F.col("n").cast("long"), 32)
-    return lines.select("c", "n", "b1", "b2", F.explode("z").alias("w")).select("c", size.bitwiseOR(F.col("w").bitwiseAND(0xFFFFFFFF)).alias("np"), "b1", "b2", F.shiftright("w", 32).cast("int").alias("tok"))
+            e = _entries(batch, percent)
+            tok, n = e["tok"].view(np.int32), e["n"].astype(np.int64)
+            if bits is not None:
+                k = np.diff(buffers(batch.column("z"))[1]) // 4
+                at = (tok.astype(np.int64) + np.repeat(batch.column("size_class").to_numpy().astype(np.int64), k) * 7_368_787) & (PICK_BITS - 1)
+                hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            else:
+                hit = slice(None)
+            sides = (e["c"][hit], n[hit] << 32 | e["p"][hit], e["b1"].view(np.int64)[hit], e["b2"].view(np.int64)[hit], tok[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sides], names=["c", "np", "b1", "b2", "tok"])
+
+    return lines.select("c", "n", "b1", "b2", "z", _size_class(F.col("n"), percent).alias("size_class")).mapInArrow(run, "c long, np long, b1 long, b2 long, tok int")
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:

@@ -161,6 +161,55 @@ def test_floor_of_words_leaves_equal_sets(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1}
 
 
+def _line_entries(seed):
+    """Sets of words (numbers, the rarer the smaller) with the index's entries of them at 60 %; words share names."""
+    r = np.random.default_rng(seed)
+    base = [r.choice(400, r.integers(2, 30), replace=False) for _ in range(25)]
+    sets = [np.unique(np.append(b[r.random(len(b)) < r.choice([0.7, 0.9, 1])], r.choice(400, r.integers(0, 4)))) for b in base for _ in range(6)]
+    sets = [s for s in sets if len(s)]
+    k = [int(lines._prefix(len(s), 60)) for s in sets]
+    own = np.repeat(np.arange(len(sets)), k)
+    h = [minhash.mix(s.astype(np.uint64)) for s in sets]
+    b1, b2 = np.concatenate([lines._parity(x, np.zeros(1, np.int64)) for x in h], axis=1)
+    c = r.permutation(len(sets))
+    tok = np.concatenate([s[:j] % 150 for s, j in zip(sets, k, strict=True)]).astype(np.uint32)
+    n = np.array([len(s) for s in sets], np.int32)
+    return sets, c, {"tok": tok, "n": n[own], "p": np.concatenate([np.arange(j) for j in k]).astype(np.int32), "c": c[own], "b1": b1[own], "b2": b2[own]}
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_index_of_lines_meets_every_similar_pair(monkeypatch, block):
+    monkeypatch.setattr(lines, "PAIR_ROWS", block)
+    sets, c, entries = _line_entries(block)
+    found = list(lines._pairs(entries, 60))
+    got = {(int(x), int(y)) for a, b, _ in found for x, y in zip(a, b, strict=True)}
+    named = sorted((int(k), set(s.tolist())) for k, s in zip(c, sets, strict=True))
+    want = {(i, j) for i, s in named for j, t in named if i < j and 100 * len(s & t) >= 60 * len(s | t)}
+    assert len(want) > 100 and want <= got
+    size = {k: len(s) for k, s in named}
+    assert all(i < j and min(size[i], size[j]) * 100 >= 60 * max(size[i], size[j]) for i, j in got)
+
+
+def test_lines_meet_only_where_enough_words_are_left(spark):
+    # two lines of ten words: similar ones share nine, so the first that they share is the first or second of either
+    at = lambda place: spark.createDataFrame([(c, 10 << 32 | place, 0, 0, 1) for c in (1, 2)], "c long, np long, b1 long, b2 long, tok int")
+    assert [lines._candidates(at(p), at(p), 80).count() for p in (0, 1, 2)] == [1, 1, 0]
+    one = np.ones(2, np.int64)
+    met = [sum(len(a) for a, *_ in lines._pairs({"tok": one, "n": 10 * one, "p": p * one, "c": np.arange(2), "b1": one, "b2": one}, 80)) for p in (0, 1, 2)]
+    assert met == [1, 1, 0]
+
+
+def test_lines_in_small_pieces_equal_brute_force(spark, monkeypatch):
+    for name, few in (("RANGES", 1), ("INDEX_ROWS", 3), ("PAIR_ROWS", 5), ("SLICE_BYTES", 300)):
+        monkeypatch.setattr(lines, name, few)
+    r = random.Random(6)
+    pool = [t for _, t in _corpus(11, 60) if t]
+    rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 6)))) for k in range(50)]
+    gone = _brute_lines(rows)
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {x["doc_id"]: x["n_removed"] for x in out.collect()} == {i: len(gone[i]) for i, _ in rows}
+
+
 def _vector_rows(seed, n=600, dim=16):
     g = np.random.default_rng(seed)
     centres = g.normal(size=(40, dim))
