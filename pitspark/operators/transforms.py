@@ -48,12 +48,20 @@ def _must(ok: Column, value: Column, message: str) -> Column:
 
 
 @register_op("pct_change")
-def pct_change(section: DataFrame, *, base: DataFrame | None = None, **_: Any) -> DataFrame:
-    """(x - base) / |base|; entities without a base go; a base of 0 fails the build. ``base`` is a section, or a column of
-    this one (see ``with_base``), which goes."""
+def pct_change(section: DataFrame, *, base: DataFrame | None = None, zero_base: str = "fail", **_: Any) -> DataFrame:
+    """(x - base) / |base|; entities without a base go. A base of 0 fails the build or, with ``zero_base="ieee"``, divides as
+    doubles do: an infinity of x's sign, NaN if x is 0. ``base`` is a section, or a column of this one (see ``with_base``), which goes."""
+    if zero_base not in ("fail", "ieee"):
+        raise TransformError("pct_change: zero_base is fail or ieee")
     joined = section.withColumnRenamed("base", "_base") if base is None else section.join(base.select(DATE, ENTITY, F.col(VALUE).alias("_base")), [DATE, ENTITY])
     joined = joined.where("_base IS NOT NULL")
-    return joined.withColumn(VALUE, _must(F.col("_base") != 0, (F.col(VALUE) - F.col("_base")) / F.abs("_base"), "pct_change: a base is 0")).drop("_base")
+    change = (F.col(VALUE) - F.col("_base")) / F.abs("_base")
+    if zero_base == "ieee":
+        # a plain division by 0 is an error in ANSI mode
+        change = F.when(F.col("_base") != 0, change).otherwise(F.col(VALUE) * F.lit(float("inf")))
+    else:
+        change = _must(F.col("_base") != 0, change, "pct_change: a base is 0")
+    return joined.withColumn(VALUE, change).drop("_base")
 
 
 def with_base(values: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def snapshot_write_read(spark, sf_dir):
 @Q._query(f"{Q._FACTOR_SQL}, r AS ({Q._RANK_SQL.format('pct')}) {Q._OUT_SQL}")
 def factor_engine(spark, sf_dir):
     """A definition built on a snapshot."""
-    rule = {"factor": {"id": "change", "version": 1, "family": "test"}, "inputs": [{"signal": "evt.purchase", "series_id": "a", "field": "value", "window": f"{Q.BASE_WINDOW}d"}], "pit": {"embargo": "1d"}, "transform": [{"op": "pct_change"}, {"op": "cross_sectional_rank"}]}
+    rule = {"factor": {"id": "change", "version": 1, "family": "test"}, "inputs": [{"signal": "evt.purchase", "series_id": "a", "field": "value", "window": f"{Q.BASE_WINDOW}d"}], "pit": {"embargo": "1d"}, "transform": [{"op": "pct_change", "zero_base": "ieee"}, {"op": "cross_sectional_rank"}]}
     ref = _written(spark, sf_dir).snapshot(as_of_ns=Q.END_NS, target_dir=_folder(spark, "snapshot"))
     panel = factors.Engine(store.SnapshotStore(spark, ref.path), content_hash=ref.content_hash).build(factors.Definition.parse(rule), Q.DATES)
     return Q._rounded(panel.exposures)

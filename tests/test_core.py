@@ -112,6 +112,15 @@ def test_transforms(spark):
         assert transforms.get_op(op)(empty).count() == 0
 
 
+def test_a_base_of_0_fails_or_divides_as_doubles(spark):
+    section, base = _section(spark, [2, -2, 0, 3]), _section(spark, [0, -0.0, 0, 2])
+    assert repr(_values(transforms.pct_change(section, base=base, zero_base="ieee"))) == "[inf, -inf, nan, 0.5]"
+    with pytest.raises(PySparkException, match="a base is 0"):
+        transforms.pct_change(section, base=base).collect()
+    with pytest.raises(transforms.TransformError):
+        transforms.pct_change(section, base=base, zero_base="none")
+
+
 def test_guard_rules_in_order(spark):
     now = 100 * DAY
     df = spark.createDataFrame([("a", now + DAY, now, "v"), ("b", now - 1, now - 30 * DAY, "v"), ("c", now - 30 * DAY, now - 30 * DAY, ""), ("d", now - 30 * DAY, now - 30 * DAY, "v")], "id string, knowledge_time_ns long, event_time_ns long, vintage_id string")
