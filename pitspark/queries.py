@@ -162,7 +162,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).where("signal_type = 'evt.purchase' AND series_id = 'a'")
     cuts = [pit.embargoed_cuts(_dates(spark), 1 + days).withColumn("back", F.lit(back)) for back, days in ((False, 0), (True, BASE_WINDOW))]
     values = pit.latest_in_force(pit.pit_read_dates(rows, cuts[0].union(cuts[1])), F.col("value"), "rebalance_date", "back")
-    return transforms.pct_change(transforms.with_base(values))
+    return transforms.pct_change(transforms.with_base(values), zero_base="ieee")
 
 
 def _sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
