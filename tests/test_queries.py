@@ -44,7 +44,7 @@ def test_query(spark, db, name):
     assert got == _sorted(answer.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["factor_engine", "factor_pipeline"])
+@pytest.mark.parametrize("name", ["factor_engine", "factor_pipeline", "pct_change"])
 def test_bases_of_0_as_in_sql(spark, tmp_path, name):
     """Purchases of the first days are 0 for a third of the users, and later ones for some of them: changes are infinite or NaN."""
     con = duckdb.connect()
